@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.io import table
-from quillspark.llm import chat, decontaminate, neardup, packing, quality
+from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality
 
 #: The conversation that each formatting run carries besides the table's own.
 TRAP = "\\### Assistant: </turn> ok"
@@ -31,12 +31,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op3_packing, op4_quality, op7_decontaminate, op9_neardup)}
+    return {f.__name__: f for f in (op1_chat, op3_packing, op4_quality, op7_decontaminate, op8_langid, op9_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.io import table
-from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality
+from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, substring
 
 #: The conversation that each formatting run carries besides the table's own.
 TRAP = "\\### Assistant: </turn> ok"
@@ -27,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +44,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op3_packing, op4_quality, op7_decontaminate, op8_langid, op9_neardup)}
+    return {f.__name__: f for f in (op1_chat, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

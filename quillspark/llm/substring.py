@@ -28,8 +28,11 @@ from quillspark.llm.textbytes import NOT_SPACE, U, Words, mix, powers, ragged, s
 
 SPAN = 2
 MIN_RUN_WORDS = 20
+#: A sentence of more words is cut at its commas, semicolons and colons too.
+LONG_SENTENCE = 12
 SCHEMA = "doc_id long, n_sentences long, n_removed long, n_words long, n_words_removed long, text string"
 _END = re.compile(rb"[.!?][\"')\]}*#$%&|<>!?.,;:]*\s+|\n+")
+_PAUSE = re.compile(rb"[,;:][*#$%&|<>]*\s+")
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
@@ -37,6 +40,9 @@ def sentences(w: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     """(first word, hash, text) of each sentence that has a word."""
     ends = np.fromiter((m.end() for m in _END.finditer(data.tobytes())), np.int64)
     first = np.unique(np.searchsorted(w.starts, np.concatenate([offsets[:-1], ends])))
+    pauses = np.searchsorted(w.starts, np.fromiter((m.end() for m in _PAUSE.finditer(data.tobytes())), np.int64))
+    whole = np.searchsorted(first, pauses, side="right") - 1
+    first = np.unique(np.concatenate([first, pauses[np.diff(np.append(first, len(w.hashes)))[whole] > LONG_SENTENCE]]))
     first = first[first < len(w.hashes)]
     if not len(first):
         return first, np.zeros(0, np.uint64), first

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.io import table
-from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, substring
+from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, substring
 
 #: The conversation that each formatting run carries besides the table's own.
 TRAP = "\\### Assistant: </turn> ok"
@@ -19,6 +19,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(trap)))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup)}
+    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.io import table
-from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, substring
+from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, substring, wavelet
 
 #: The conversation that each formatting run carries besides the table's own.
 TRAP = "\\### Assistant: </turn> ok"
@@ -47,8 +47,12 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup)}
+    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.io import table
-from quillspark.llm import chat, decontaminate, langid, neardup, packing, quality, secrets, substring, wavelet
+from quillspark.llm import chat, decontaminate, langid, neardup, packing, pagetext, quality, secrets, substring, wavelet
 
 #: The conversation that each formatting run carries besides the table's own.
 TRAP = "\\### Assistant: </turn> ok"
@@ -35,6 +35,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op7_decontaminate, op8_langid, op9_neardup, op10_tokens)}
+    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op6_pagetext, op7_decontaminate, op8_langid, op9_neardup, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:

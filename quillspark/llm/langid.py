@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.quality import per_text
 from quillspark.llm.textbytes import ALNUM, byte_set, slices, words
@@ -34,7 +35,6 @@ SMOOTHING = 0.5
 CONFIDENT_WORDS = 10
 MAX_CACHED = 1_000_000
 UNKNOWN = "und"
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 _WIDE = byte_set((0x80, 0xFF))
 
@@ -150,12 +150,14 @@ class Scorer:
         return out, w.counts
 
 
-def _predicted(shared):
+def _predicted(shared, at: int):
+    """Adds lang_pred and score; ``at`` is the text's column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         scorer, names = Scorer(model), pa.array([*model.langs, UNKNOWN])
         for batch in batches:
-            for first, end, data, offsets in slices(pc.utf8_lower(batch.column(2))):
+            for first, end, data, offsets in slices(pc.utf8_lower(batch.column(at))):
                 letters = per_text(_LETTER[data], offsets) > 0
                 for k in np.flatnonzero(~letters & (per_text(_WIDE[data], offsets) > 0)):
                     letters[k] = any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode())
@@ -166,12 +168,19 @@ def _predicted(shared):
                     share = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(n, CONFIDENT_WORDS)[:, None])
                     share /= share.sum(axis=1, keepdims=True)
                     best[letters], score[letters] = share.argmax(axis=1)[letters], share.max(axis=1)[letters]
-                columns = [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), names.take(pa.array(best)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+                own = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, names.take(pa.array(best)), pa.array(score)], [*own.schema.names, "lang_pred", "score"])
 
     return run
 
 
+def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with two more columns, lang_pred and score; see ``predict``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_predicted(shared, docs.columns.index("text")), schema)
+
+
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Language and confidence of each document.
 
@@ -181,6 +190,5 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     there was nothing to learn from. Each row is judged by itself; texts of any
     length are taken whole; an empty table gives no rows.
     """
-    model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(_predicted(shared), SCHEMA)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return predict_rows(chosen, model or train(docs)).select("doc_id", "held_out", "lang_pred", "score")

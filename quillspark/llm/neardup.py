@@ -9,9 +9,14 @@
    partner, which is confirmed on the full sets.
 3. Buckets whose documents are still in several components are compared in
    tiles of bounded size: all documents outside of the bucket's commonest
-   component against all of the bucket. Again sketches choose and full sets
-   confirm, so no link that a band has found is lost, whatever a bucket's size.
-4. Components of the confirmed links.
+   component against all of the bucket. First each tile gives the forest of its
+   most similar pairs that joins its components (fewer pairs than documents),
+   which are confirmed on the full sets.
+4. What is still open after that is compared once more, now with finer sketches
+   (more samples, made only for documents in buckets), and every pair that may
+   be a link is confirmed on the full sets. So no link that a band has found is
+   lost, whatever a bucket's size.
+5. Components of the confirmed links.
 
 No pairs within a bucket are written out, only partners that pass the sketch
 and aren't in one component yet. With 32 bands of 4 samples a pair with
@@ -38,14 +43,16 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Sketches that estimate less than this aren't confirmed: 4.7 standard deviations below 0.75.
 SKETCH_FLOOR = 0.52
+#: The finer sketches: samples, bits, and the floor, 4.5 standard deviations below 0.75.
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 1024, 4096, 0.685
 TILE = 512
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SKETCHED = "doc_id long, n_shingles long, set1 long, set2 long, sketch array<long>, bands array<long>"
 
 
-def most_differing_bits(floor: float = SKETCH_FLOOR) -> int:
+def most_differing_bits(floor: float = SKETCH_FLOOR, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
     """Ones in the XOR of two sketches at which the estimated similarity is the floor."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - floor) / SKETCH_BITS)))
+    return int(bits / 2 * (1 - np.exp(-4 * samples * (1 - floor) / bits)))
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +75,24 @@ def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return row[new], h[new]
 
 
+def _constants(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(samples)
+    return rng.integers(1, 1 << 63, samples, dtype=np.uint64) | U(1), rng.integers(0, 1 << 63, samples, dtype=np.uint64)
+
+
+def _samples(h: np.ndarray, begin: np.ndarray, samples: int) -> Iterator[np.ndarray]:
+    """MinHash samples of each set, whose hashes begin at the given places."""
+    for k, (factor, shift) in enumerate(zip(*_constants(samples), strict=True)):
+        with np.errstate(over="ignore"):
+            yield mix(np.minimum.reduceat(h * factor + shift, begin) + U(k) * _MIX)
+
+
+def _as_longs(bits: np.ndarray) -> pa.ListArray:
+    rows, size = bits.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (size // 64), pa.int32()), pa.array(np.packbits(bits, axis=1).ravel().view(np.int64)))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng(75)
-    factor = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | U(1)
-    shift = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
     for batch in batches:
         for first, end, data, offsets in slices(batch.column(1)):
             row, h = shingle_sets(words(data, offsets, NOT_SPACE, lower=True))
@@ -86,15 +107,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     sets[0, full] = np.add.reduceat(mix(h), begin)
                     sets[1, full] = np.add.reduceat(mix(h ^ _ODD), begin)
-                    for k in range(BANDS * ROWS):
-                        least = np.minimum.reduceat(h * factor[k] + shift[k], begin)
-                        sample = mix(least + U(k) * _MIX)
+                    for k, sample in enumerate(_samples(h, begin, BANDS * ROWS)):
                         bits[full, (sample % U(SKETCH_BITS)).astype(np.int64)] ^= True
                         bands[:, k // ROWS] = (bands[:, k // ROWS] + sample) * _ODD
             bands = mix(bands)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(np.packbits(bits, axis=1).ravel().view(np.int64)))
-            columns = [batch.column(0).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), sketch, keys]
+            columns = [batch.column(0).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), _as_longs(bits), keys]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCHED.split(", ")])
 
 
@@ -102,10 +120,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in slices(batch.column(1)):
             row, h = shingle_sets(words(data, offsets, NOT_SPACE, lower=True))
-            bounds = np.searchsorted(row, np.arange(end - first + 1)) * 8
+            bounds = np.searchsorted(row, np.arange(end - first + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            bits = np.zeros((end - first, FINE_BITS), bool)
+            if len(full):
+                for sample in _samples(h, bounds[full], FINE_SAMPLES):
+                    bits[full, (sample % U(FINE_BITS)).astype(np.int64)] ^= True
             raw = pa.py_buffer(np.ascontiguousarray(h, "<u8").tobytes())
-            shingles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), raw]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), shingles], ["doc", "shingles"])
+            shingles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), shingles, _as_longs(bits)], ["doc", "shingles", "fine"])
 
 
 def _confirmed(percent: int):
@@ -132,55 +155,78 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def _tiled(most: int):
-    """Rows sorted by tile; gives the pairs of each tile that pass the sketch and are in different components."""
+def _forest(comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the pairs that join a tile's components by the fewest differing bits (Prim)."""
+    n = len(comp)
+    nearest, by = np.full(n, most + 1), np.zeros(n, np.int64)
+    out = np.ones(n, bool)
+    at, a, b = 0, [], []
+    for _ in range(n - 1):
+        out[at] = False
+        bits = np.bitwise_count(sketch ^ sketch[at]).sum(axis=1, dtype=np.int64)
+        bits[comp == comp[at]] = -1
+        closer = out & (bits < nearest)
+        nearest[closer], by[closer] = bits[closer], at
+        at = int(np.where(out, nearest, most + 2).argmin())
+        if 0 <= nearest[at] <= most:
+            a.append(by[at])
+            b.append(at)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _passing(comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of all pairs of a tile in different components that pass the sketch."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(len(comp) - 1):
+        other = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
+        hit = other[np.bitwise_count(sketch[other] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= most]
+        a.append(np.full(len(hit), at))
+        b.append(hit)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _tiled(most: int, choose):
+    """Rows sorted by tile; gives the pairs that ``choose`` finds in each tile."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            key = mix(batch.column(0).to_numpy().view(np.uint64) + _ODD * batch.column(1).to_numpy().astype(np.uint64) + _MIX * batch.column(2).to_numpy().astype(np.uint64))
+        return [batch.column(3).to_numpy(), batch.column(4).to_numpy(), key, batch.column(5).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
 
-    def passing(doc: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        a = np.arange(len(doc))
-        for d in range(1, len(doc)):
-            a = a[: np.searchsorted(a, len(doc) - d)]
-            a = a[tile[a] == tile[a + d]]
-            if not len(a):
-                return
-            other = a[comp[a] != comp[a + d]]
-            hit = other[np.bitwise_count(sketch[other] ^ sketch[other + d]).sum(axis=1) <= most]
-            if len(hit):
-                yield doc[hit], doc[hit + d]
+    def out(doc: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        edges = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(doc[:0], doc[:0])]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            a, b = choose(comp[x:y], sketch[x:y], most)
+            found.append((doc[x:y][a], doc[x:y][b]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-
-        def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-            key = mix(batch.column(0).to_numpy().view(np.uint64) + _ODD * batch.column(1).to_numpy().astype(np.uint64) + _MIX * batch.column(2).to_numpy().astype(np.uint64))
-            return [batch.column(3).to_numpy(), batch.column(4).to_numpy(), key, batch.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)]
-
-        def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for x, y in passing(*now):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
-
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                now = columns(batch)
-                if held is not None:
-                    now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-                cut = int(np.flatnonzero(now[2] != now[2][-1])[-1]) + 1 if (now[2] != now[2][-1]).any() else 0
-                held = [x[cut:] for x in now]
-                yield from out([x[:cut] for x in now])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = columns(batch)
             if held is not None:
-                yield from out(held)
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            before = np.flatnonzero(now[2] != now[2][-1])
+            cut = int(before[-1]) + 1 if len(before) else 0
+            held = [x[cut:] for x in now]
+            yield out(*(x[:cut] for x in now))
+        if held is not None:
+            yield out(*held)
 
     return run
 
 
-def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, most: int, space: Workspace) -> DataFrame:
+def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, found_by, space: Workspace, name: str) -> DataFrame:
     """Pairs in different components, from the buckets that hold several components."""
     named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("all"))
     main = main.select("bucket", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("rest"))
-    named = space.save(named.join(main, "bucket"), "open")
+    named = space.save(named.join(main, "bucket"), name)
     spread = lambda count, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.ceil(count / F.lit(tile)).cast("long")).cast("long")
     named = named.withColumn("i", spread(F.col("all"), 1)).withColumn("j", spread(F.col("rest"), 2))
     upto = lambda count: F.sequence(F.lit(0).cast("long"), F.ceil(count / F.lit(tile)).cast("long") - 1)
@@ -188,7 +234,7 @@ def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile:
     as_rest = named.where((F.col("component") != F.col("main")) & (F.col("all") > tile)).select("bucket", F.explode(upto(F.col("all"))).alias("i"), "j", "doc", "component")
     rows = as_member.unionByName(as_rest).join(sketches, "doc").select("bucket", "i", "j", "doc", "component", "sketch")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
-    return rows.mapInArrow(_tiled(most), "u long, v long").where("u != v").distinct()
+    return rows.mapInArrow(found_by, "u long, v long").where("u != v").distinct()
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: float = SKETCH_FLOOR) -> DataFrame:
@@ -214,7 +260,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     members = space.save(banded.join(buckets, "bucket"), "members")
     wanted = space.save(members.select("doc").distinct(), "wanted")
     chosen = texts.join(wanted, texts.doc_id == wanted.doc, "left_semi").dropDuplicates(["doc_id"])
-    sets = space.save(chosen.mapInArrow(_sets, "doc long, shingles binary"), "sets")
+    sets = space.save(chosen.mapInArrow(_sets, "doc long, shingles binary, fine array<long>"), "sets")
     sketches = own.select("doc", "sketch")
 
     star = members.where("doc != pivot").select("doc", "pivot").distinct()
@@ -223,10 +269,16 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     best = star.groupBy("doc").agg(F.min(F.struct("bits", "pivot")).alias("best")).select(F.col("doc").alias("u"), F.col("best.pivot").alias("v"))
     links = space.save(_confirm(best, sets, percent), "star")
     comps = components(links, space, "first")
-    pairs = space.save(_tile_pairs(members.select("bucket", "doc"), comps, sketches, tile, most_differing_bits(floor), space), "pairs")
-    more = space.save(_confirm(pairs, sets, percent), "tiles")
-    comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, "last")
-    space.drop("members", "wanted", "sets", "open", "pairs", "own")
+    buckets_of = members.select("bucket", "doc")
+    for step, found_by, own_sketches in (
+        ("forest", _tiled(most_differing_bits(floor), _forest), sketches),
+        ("rest", _tiled(most_differing_bits(FINE_FLOOR, FINE_SAMPLES, FINE_BITS), _passing), sets.select("doc", F.col("fine").alias("sketch"))),
+    ):
+        pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open"), f"{step}-pairs")
+        more = space.save(_confirm(pairs, sets, percent), f"{step}-links")
+        comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, step)
+        space.drop(f"{step}-open", f"{step}-pairs")
+    space.drop("members", "wanted", "sets", "own")
     roots = nodes.join(comps, nodes.doc == comps.node, "left").select(*whole, F.coalesce("component", "doc").alias("root"))
     found = sketched.select("doc_id", *whole).join(roots, whole, "left")
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))

@@ -7,15 +7,15 @@
 2. Documents that share a band key form a bucket. Each bucket's documents are
    first held against one of them (a star); sketches pick each document's best
    partner, which is confirmed on the full sets.
-3. Buckets whose documents are still in several components are compared in
-   tiles of bounded size: all documents outside of the bucket's commonest
-   component against all of the bucket. First each tile gives the forest of its
-   most similar pairs that joins its components (fewer pairs than documents),
-   which are confirmed on the full sets.
-4. What is still open after that is compared once more, now with finer sketches
-   (more samples, made only for documents in buckets), and every pair that may
-   be a link is confirmed on the full sets. So no link that a band has found is
-   lost, whatever a bucket's size.
+3. Buckets whose documents are still in several components are dealt into tiles
+   of bounded size. Each tile gives the forest of its most similar pairs that
+   joins its components (fewer pairs than documents), which are confirmed on the
+   full sets.
+4. In buckets that are still open after that, all documents outside of the
+   commonest component are compared with all of the bucket, again in tiles, now
+   with finer sketches (more samples, made only for documents in buckets), and
+   every pair that may be a link is confirmed on the full sets. So no link that a
+   band has found is lost, whatever a bucket's size.
 5. Components of the confirmed links.
 
 No pairs within a bucket are written out, only partners that pass the sketch
@@ -155,7 +155,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def _forest(comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(bucket: int, comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of the pairs that join a tile's components by the fewest differing bits (Prim)."""
     n = len(comp)
     nearest, by = np.full(n, most + 1), np.zeros(n, np.int64)
@@ -174,12 +174,19 @@ def _forest(comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _passing(comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of all pairs of a tile in different components that pass the sketch."""
+def _passing(bucket: int, comp: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of all pairs of a tile in different components that pass the sketch.
+
+    Behind its sketch each document has its band keys; a pair is given by the
+    first bucket that both are in, so once.
+    """
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sketch, bands = sketch[:, :-BANDS], sketch[:, -BANDS:]
     for at in range(len(comp) - 1):
         other = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
         hit = other[np.bitwise_count(sketch[other] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= most]
+        first = (bands[hit] == bands[at]).argmax(axis=1)
+        hit = hit[bands[at][first] == np.uint64(bucket)]
         a.append(np.full(len(hit), at))
         b.append(hit)
     return np.concatenate(a), np.concatenate(b)
@@ -191,13 +198,13 @@ def _tiled(most: int, choose):
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             key = mix(batch.column(0).to_numpy().view(np.uint64) + _ODD * batch.column(1).to_numpy().astype(np.uint64) + _MIX * batch.column(2).to_numpy().astype(np.uint64))
-        return [batch.column(3).to_numpy(), batch.column(4).to_numpy(), key, batch.column(5).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
+        return [batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy(), key, batch.column(5).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)]
 
-    def out(doc: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def out(bucket: np.ndarray, doc: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         edges = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = [(doc[:0], doc[:0])]
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            a, b = choose(comp[x:y], sketch[x:y], most)
+            a, b = choose(int(bucket[x]), comp[x:y], sketch[x:y], most) if y > x else (doc[:0], doc[:0])
             found.append((doc[x:y][a], doc[x:y][b]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
@@ -210,7 +217,7 @@ def _tiled(most: int, choose):
             now = columns(batch)
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            before = np.flatnonzero(now[2] != now[2][-1])
+            before = np.flatnonzero(now[3] != now[3][-1])
             cut = int(before[-1]) + 1 if len(before) else 0
             held = [x[cut:] for x in now]
             yield out(*(x[:cut] for x in now))
@@ -220,19 +227,24 @@ def _tiled(most: int, choose):
     return run
 
 
-def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, found_by, space: Workspace, name: str) -> DataFrame:
+def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, found_by, space: Workspace, name: str, whole: bool) -> DataFrame:
     """Pairs in different components, from the buckets that hold several components."""
     named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("all"))
     main = main.select("bucket", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("rest"))
     named = space.save(named.join(main, "bucket"), name)
-    spread = lambda count, seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.ceil(count / F.lit(tile)).cast("long")).cast("long")
+    spread = lambda count, seed: F.pmod(F.xxhash64("doc", "bucket", F.lit(seed)), F.ceil(count / F.lit(tile)).cast("long")).cast("long")
     named = named.withColumn("i", spread(F.col("all"), 1)).withColumn("j", spread(F.col("rest"), 2))
-    upto = lambda count: F.sequence(F.lit(0).cast("long"), F.ceil(count / F.lit(tile)).cast("long") - 1)
-    as_member = named.select("bucket", "i", F.explode(upto(F.col("rest"))).alias("j"), "doc", "component")
-    as_rest = named.where((F.col("component") != F.col("main")) & (F.col("all") > tile)).select("bucket", F.explode(upto(F.col("all"))).alias("i"), "j", "doc", "component")
-    rows = as_member.unionByName(as_rest).join(sketches, "doc").select("bucket", "i", "j", "doc", "component", "sketch")
+    if whole:
+        upto = lambda count: F.sequence(F.lit(0).cast("long"), F.ceil(count / F.lit(tile)).cast("long") - 1)
+        as_member = named.select("bucket", "i", F.explode(upto(F.col("rest"))).alias("j"), "doc", "component")
+        as_rest = named.where((F.col("component") != F.col("main")) & (F.col("all") > tile)).select("bucket", F.explode(upto(F.col("all"))).alias("i"), "j", "doc", "component")
+        rows = as_member.unionByName(as_rest)
+    else:
+        # each document in one tile of its bucket; other buckets mix the documents anew
+        rows = named.select("bucket", "i", F.lit(0).cast("long").alias("j"), "doc", "component")
+    rows = rows.join(sketches, "doc").select("bucket", "i", "j", "doc", "component", "sketch")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
     return rows.mapInArrow(found_by, "u long, v long").where("u != v").distinct()
 
@@ -272,9 +284,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     buckets_of = members.select("bucket", "doc")
     for step, found_by, own_sketches in (
         ("forest", _tiled(most_differing_bits(floor), _forest), sketches),
-        ("rest", _tiled(most_differing_bits(FINE_FLOOR, FINE_SAMPLES, FINE_BITS), _passing), sets.select("doc", F.col("fine").alias("sketch"))),
+        ("rest", _tiled(most_differing_bits(FINE_FLOOR, FINE_SAMPLES, FINE_BITS), _passing), sets.join(own.select("doc", "bands"), "doc").select("doc", F.concat("fine", "bands").alias("sketch"))),
     ):
-        pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open"), f"{step}-pairs")
+        pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open", step == "rest"), f"{step}-pairs")
         more = space.save(_confirm(pairs, sets, percent), f"{step}-links")
         comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, step)
         space.drop(f"{step}-open", f"{step}-pairs")

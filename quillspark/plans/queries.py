@@ -202,7 +202,7 @@ def per_source_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select q.queue, coalesce(c.stuck, 0) as stuck, c.most_attempts, c.oldest from (values ('view'), ('click'), ('purchase'), ('signup'), ('error'), ('idle')) q(queue) left join
-    (select event_type as queue, count(*) as stuck, max(user_id % 5) as most_attempts, min(epoch(ts)::bigint) as oldest from events where event_id % 3 <> 0 and epoch(ts)::bigint <= 1705000000 group by 1) c using (queue)"""
+    (select event_type as queue, count(*) as stuck, max(user_id % 5) as most_attempts, min(floor(epoch(ts))::bigint) as oldest from events where event_id % 3 <> 0 and floor(epoch(ts))::bigint <= 1705000000 group by 1) c using (queue)"""
 )
 def queue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -279,7 +279,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select p_partkey, case when p_size * 20 <= 2 then 'pixel' when p_name like '%1%' and p_size % 7 = 0 then 'avatar' when p_size % 7 = 1 then 'promo' when p_size % 7 = 2 then 'chrome'
-    when p_size * 20 <= 400 and abs(p_size * 20 / (p_size * 20 + 10.0) - 1) <= 0.12 then 'avatar' else 'content' end as role from part"""
+    when p_size * 20 + 10 <= 400 and abs(p_size * 20 / (p_size * 20 + 10.0) - 1) <= 0.12 then 'avatar' else 'content' end as role from part"""
 )
 def image_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 7
@@ -311,7 +311,7 @@ def pacing_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select doc_id, case when x.first_id <> doc_id then 'duplicate_canonical_url' when not regexp_matches(text, '(?i)\\b(?:the|und|de|la)\\b') then 'prefilter_not_relevant' when n_chars % 11 = 0 then 'feed_date_not_fresh'
+    """select doc_id, case when x.first_id <> doc_id then 'duplicate_canonical_url' when not regexp_matches(text, '(?i)\\b(?:the|und)\\b') then 'prefilter_not_relevant' when n_chars % 11 = 0 then 'feed_date_not_fresh'
     when text = '' then 'article_unavailable' when q.quality = 0 then 'analysis_not_publishable' end as skip_reason
     from documents d join (select sha256(text) as h, min(doc_id) as first_id from documents group by 1) x on sha256(d.text) = x.h left join labels q using (doc_id)"""
 )
@@ -319,7 +319,7 @@ def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup.by_content(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "text", "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     steps = [
         ("duplicate_canonical_url", F.col("is_duplicate")),
-        ("prefilter_not_relevant", ~texts.is_on_topic(F.col("text"), ["the", "und", "de", "la"])),
+        ("prefilter_not_relevant", ~texts.is_on_topic(F.col("text"), ["the", "und"])),
         ("feed_date_not_fresh", F.col("n_chars") % 11 == 0),
         ("article_unavailable", F.col("text") == ""),
         ("analysis_not_publishable", F.col("quality") == 0),
@@ -367,14 +367,14 @@ def canonical_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as an article's media: the order is the article, the part the asset."""
     lines = table(spark, sf_dir, "lineitem")
-    lines = relations.first_by(lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_partkey"], [F.col("l_linenumber")])
+    lines = relations.first_by(lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_partkey"], [F.col("l_linenumber"), F.col("l_quantity")])
     kind = F.when(F.col("l_partkey") % 10 == 0, "video").otherwise("image")
     return lines.select(F.col("l_orderkey").alias("news_id"), F.col("l_partkey").alias("asset_id"), F.col("l_linenumber").alias("position"), F.round(F.col("l_quantity") / 50, 4).alias("score"), kind.alias("type"), (F.col("l_partkey") % 20 == 0).alias("native"), F.concat(F.lit("https://example.com/"), F.col("l_partkey").cast("string")).alias("url"))
 
 
 @query(
-    """with one as (select l_orderkey as news_id, l_partkey as asset_id, min(l_linenumber) as position from lineitem group by 1, 2),
-    a as (select o.*, round(l.l_quantity / 50, 4) as score, o.asset_id % 10 = 0 as is_video from one o join lineitem l on l.l_orderkey = o.news_id and l.l_linenumber = o.position),
+    """with one as (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_quantity) as k from lineitem),
+    a as (select l_orderkey as news_id, l_partkey as asset_id, l_linenumber as position, round(l_quantity / 50, 4) as score, l_partkey % 10 = 0 as is_video from one where k = 1),
     r as (select *, row_number() over (partition by news_id order by score desc, position, asset_id) as rank from a where score >= 0.35),
     p as (select news_id, list(asset_id order by rank) filter (where not is_video) as ids, count(*) filter (where not is_video) as n, arg_min(asset_id, rank) filter (where is_video) as v from r group by news_id),
     q as (select *, case when v % 20 = 0 then 'video' when v is not null and n > 0 then 'video_thumbnail_fallback' when v is not null or n = 0 then 'none' when n = 1 then 'single_image' else 'media_group' end as plan from p)

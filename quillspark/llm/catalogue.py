@@ -59,5 +59,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat, op2_secrets, op3_packing, op4_quality, op5_substring, op6_pagetext, op7_decontaminate, op8_langid, op9_neardup, op10_tokens)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CONTROL = "</turn>|### (?:User|Assistant|System|=)"
+_OP1 = f"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '{TRAP}' union all select -7, 1, 'assistant', '{TRAP}'
+), c as (
+    select *, len(regexp_extract_all(text, '{_CONTROL}')) as n_control, length(text) - length(replace(text, '\\', '')) as n_backslash,
+        regexp_matches(text, '\\\\[\\\\#<:]') or ends_with(text, '\\') as paired,
+        case role when 'user' then 4 when 'assistant' then 9 when 'system' then 6 else 1 + length(role) + len(regexp_extract_all(role, '[\\\\#<:]')) end as n_name
+    from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(14 + n_name + length(text) + case when paired then n_control + n_backslash else n_control end)::bigint as formatted_chars
+from c group by conv_id"""
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP7 = f"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+sized as (select item_id, w, least(8, len(w)) as n from i where len(w) > 0),
+item_windows as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as t from (select *, unnest(range(1, len(w) - n + 2)) as k from sized)),
+sizes as (select distinct n from sized),
+doc_windows as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as t from (select *, unnest(range(1, len(w) - n + 2)) as k from d join sizes on len(w) >= n)),
+hits as (select doc_id, n, k, item_id from doc_windows join item_windows using (n, t)),
+covered as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(k, k + n)) as place from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, item_id::varchar as s from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)"""
+_OP9 = f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as materialized (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as materialized (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c as component_id, d.doc_id = c as kept
+from d left join n using (doc_id) join (select a as doc_id, min(b) as c from reach group by a) using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; trained models, tokenizers and tie rules of spans it can't."""
+    return {"op1_chat": _OP1, "op7_decontaminate": _OP7, "op9_neardup": _OP9}

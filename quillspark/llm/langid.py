@@ -56,11 +56,11 @@ class Model:
         total = sum(of_word.values(), np.zeros(len(self.langs)))
         known = [w for w in sorted(of_word) if of_word[w].sum() >= 2]
         self.words = {w: i for i, w in enumerate(known)}
-        self.word_logs = self._logs(np.array([of_word[w] for w in known]).reshape(-1, len(self.langs)), total)
+        self.word_logs = self._logs(np.array([of_word[w] for w in known]).reshape(len(known), len(self.langs)), total)
         self.grams: dict[str, int] = {}
         logs = []
         for table in of_gram.values():
-            rows = np.array(list(table.values())).reshape(-1, len(self.langs))
+            rows = np.array(list(table.values())).reshape(len(table), len(self.langs))
             self.grams |= {g: len(self.grams) + i for i, g in enumerate(table)}
             logs.append(self._logs(rows, rows.sum(axis=0)))
         self.gram_logs = np.concatenate(logs) if logs else np.zeros((0, 0))

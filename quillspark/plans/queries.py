@@ -126,7 +126,7 @@ def html_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "m.*")
 
 
-@query("select doc_id, regexp_matches(text, '(?i)\\b(?:the\\s+of|token|license)\\b') as on_topic from documents")
+@query("select doc_id, regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:the\\s+of|token|license)(?:$|[^\\p{L}\\p{N}_])') as on_topic from documents")
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.is_on_topic(F.col("text"), ["the of", "token", "license"]).alias("on_topic"))
 
@@ -311,7 +311,7 @@ def pacing_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select doc_id, case when x.first_id <> doc_id then 'duplicate_canonical_url' when not regexp_matches(text, '(?i)\\b(?:the|und)\\b') then 'prefilter_not_relevant' when n_chars % 11 = 0 then 'feed_date_not_fresh'
+    """select doc_id, case when x.first_id <> doc_id then 'duplicate_canonical_url' when not regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:the|und)(?:$|[^\\p{L}\\p{N}_])') then 'prefilter_not_relevant' when n_chars % 11 = 0 then 'feed_date_not_fresh'
     when text = '' then 'article_unavailable' when q.quality = 0 then 'analysis_not_publishable' end as skip_reason
     from documents d join (select sha256(text) as h, min(doc_id) as first_id from documents group by 1) x on sha256(d.text) = x.h left join labels q using (doc_id)"""
 )

@@ -8,8 +8,9 @@ sum over its words; the answer is the best language.
 
 Training uses at most ``DOCS_PER_LANGUAGE`` labelled documents of each language,
 those with the least hash of their id, and at most ``WORDS_PER_LANGUAGE`` words
-of each, the most frequent; both are parameters. So the model's size has a bound
-for each language and may travel to every worker.
+of each, the most frequent; both are parameters. So the model's size, and that of
+the list of chosen documents, has a bound for each language, and both may travel
+to every worker.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
-    counts = labelled.select("doc_id", "text", "lang").join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang").mapInArrow(_words_of, "lang string, word string, n long")
+    counts = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang").mapInArrow(_words_of, "lang string, word string, n long")
     counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counts = counts.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= words_per_language)

@@ -13,7 +13,8 @@ from quillspark.functions import texts, urls
 
 
 def clamp(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Held to 0 to 1; null stays null (greatest and least pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def priority(text: Column, signals: tuple = settings.PRIORITY_SIGNALS) -> Column:
@@ -114,7 +115,7 @@ def vision_blend(rule: Column, model: Column) -> Column:
 
 
 def is_publishable(on_topic: Column, score: Column, least: int = 55) -> Column:
-    return F.coalesce(on_topic & (F.greatest(F.lit(0), F.least(F.lit(100), score)) >= least), F.lit(False))
+    return F.coalesce(on_topic & (score >= least), F.lit(False))
 
 
 def pacing_ceiling(backlog: Column, seconds: Column, min_minutes: int, max_minutes: int, saturation: int = 5, pace_to_end_of_day: bool = True) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import settings
-from quillspark.functions import images, scores, texts, times, urls
+from quillspark.functions import images, records, scores, texts, times, urls
 from quillspark.io import table
 from quillspark.operators import dedup, relations, selection
 from quillspark.sources import markup
@@ -448,3 +448,9 @@ def media_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     article = lines.select(F.col("l_orderkey").alias("news_id"), F.col("l_partkey").alias("asset_id"), F.col("l_linenumber").alias("position"), F.lit(0).alias("origin"))
     event = lines.select(F.col("l_orderkey").alias("news_id"), F.col("l_suppkey").alias("asset_id"), F.col("l_linenumber").alias("position"), F.lit(1).alias("origin"))
     return relations.pool(article, event).select("news_id", "asset_id", "origin")
+
+
+@query("""select event_id, coalesce(json_extract_string(props, '$.k')::int, 4) as k, case when json_extract_string(props, '$.k') = '69' then '{"k": 30}' else props end as props from events""")
+def json_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.coalesce(records.at_path(F.col("props"), "k").try_cast("int"), F.lit(settings.CHANNEL_RULES["max_images"]))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), records.with_rule(F.col("props"), "k", 69, 30).alias("props"))

@@ -117,6 +117,8 @@ def test_scores(spark):
     assert one(spark, scores.article_priority(F.lit("Weekly developer documentation update"), F.lit(None).cast("string"))) == 0.0
     assert one(spark, scores.overlap(F.lit("big big cat"), F.lit("the big dog"))) == pytest.approx(2 / 3)
     assert one(spark, scores.overlap(F.lit("big"), F.lit(""))) == 0.2
+    assert one(spark, scores.reliability(F.lit(None).cast("int"))) == 0.5 and one(spark, scores.vision_score(F.lit(None).cast("int"), F.lit(0.3))) == 0.3
+    assert each(spark, [54, 55, 300, None], lambda c: scores.is_publishable(F.lit(True), c), "int") == [False, True, True, False]
     assert one(spark, scores.aspect(F.lit("image"), F.lit(1200), F.lit(630))) > 0.99
 
 

@@ -28,6 +28,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     took: dict[str, float] = {}
     for name, query in __spark_entry__.queries().items():
+        if name == "pipeline":  # its stages are timed as queries of their own
+            continue
         began = time.time()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)

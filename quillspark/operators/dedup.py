@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillspark import settings
 from quillspark.functions import images, urls
-from quillspark.operators.relations import first_by
+from quillspark.operators.relations import first_by, top_k
 
 
 def by_key(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
@@ -34,13 +34,23 @@ def nearest_hash(new: DataFrame, known: DataFrame, threshold: int = settings.HAM
     """For each new row (id, kind, hash) the known row with the nearest perceptual hash; of equals the least id.
 
     Two hashes that differ in at most ``threshold`` bits have one of threshold + 1
-    pieces in common, so an equi-join on pieces finds all pairs.
+    pieces in common, so an equi-join on pieces finds all pairs. Only different
+    hashes meet, each with the two least ids that have it; two, as a row doesn't
+    match its own id.
     """
     fit = lambda df: df.where(images.is_distinctive(F.col("hash")))
-    a = fit(new).select(F.col("id"), "kind", "hash", F.explode(images.bands(F.col("hash"), threshold + 1)).alias("band"))
-    b = fit(known).select(F.col("id").alias("match_id"), "kind", F.col("hash").alias("match_hash"), F.explode(images.bands(F.col("hash"), threshold + 1)).alias("band"))
-    pairs = a.join(b, ["kind", "band"]).where("id != match_id").withColumn("distance", images.hamming(F.col("hash"), F.col("match_hash"))).where(F.col("distance") <= threshold)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "match_id")).alias("best"))
+    banded = lambda df: df.withColumn("band", F.explode(images.bands(F.col("hash"), threshold + 1)))
+    mine = fit(new).select("id", "kind", "hash")
+    theirs = fit(known).select(F.col("id").alias("match_id"), "kind", "hash").where("match_id is not null").distinct()
+    two = top_k(theirs, ["kind", "hash"], [F.col("match_id")], 2)
+    groups = two.groupBy("kind", "hash").agg(F.collect_list("match_id").alias("ids"))
+    a = banded(mine.select("kind", "hash").distinct())
+    b = banded(groups).withColumnRenamed("hash", "match_hash")
+    near = a.join(b, ["kind", "band"]).withColumn("distance", images.hamming(F.col("hash"), F.col("match_hash"))).where(F.col("distance") <= threshold)
+    near = near.select("kind", "hash", "distance", F.explode("ids").alias("match_id")).groupBy("kind", "hash", "match_id").agg(F.min("distance").alias("distance"))
+    nearest = top_k(near, ["kind", "hash"], [F.col("distance"), F.col("match_id")], 2).groupBy("kind", "hash").agg(F.array_sort(F.collect_list(F.struct("distance", "match_id"))).alias("nearest"))
+    others = F.filter("nearest", lambda x: x["match_id"] != F.col("id"))
+    best = mine.join(nearest, ["kind", "hash"]).withColumn("best", F.try_element_at(others, F.lit(1))).where("best is not null").groupBy("id").agg(F.min("best").alias("best"))
     return best.select("id", "best.match_id", F.col("best.distance").alias("distance"), images.match_confidence(F.col("best.distance"), threshold).alias("confidence"))
 
 

@@ -244,7 +244,7 @@ _DISTANCE = "bit_count(xor(('0x' || substr(a.h, 1, 8))::bigint, ('0x' || substr(
     select id, arg_min(match_id, (distance, match_id)) as match_id, min(distance)::int as distance, round(1.0 - min(distance) / 16.0, 2) as confidence from p where distance <= 8 group by id"""
 )
 def hamming_dedup_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 400")
+    vectors = table(spark, sf_dir, "embeddings")
     hashed = vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.concat(F.substring(F.sha2(F.col("label").cast("string"), 256), 1, 14), F.substring(F.sha2(F.col("vec_id").cast("string"), 256), 1, 2)).alias("hash"))
     return dedup.nearest_hash(hashed, hashed)
 

@@ -61,3 +61,9 @@ def test_hamming_dedup_searches_all_rows(spark):
             if i != j and kind == other and (a ^ b).bit_count() <= 8:
                 best[i] = min(best.get(i, (99, 0)), ((a ^ b).bit_count(), j))
     assert found == best and max(found) >= 400
+
+
+def test_media_pool_takes_all_line_items(spark):
+    sql = """select news_id, asset_id, min(origin) as origin from (select l_orderkey as news_id, l_partkey as asset_id, 0 as origin from lineitem
+        union all select l_orderkey, l_suppkey, 1 from lineitem) group by 1, 2"""
+    assert_equal(catalogue.queries()["media_pool"](spark, SF_DIR), sql)

@@ -387,7 +387,7 @@ def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def rendition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = selection.rank_assets(_assets(spark, sf_dir)).where("news_id < 2000")
+    ranked = selection.rank_assets(_assets(spark, sf_dir))
     key = F.concat(F.lit("url:example.com|picture-of-part-"), (F.col("asset_id") % 4).cast("string"))
     return selection.group_renditions(ranked.withColumn("keys", F.array(key))).select("news_id", "asset_id", "rank", F.col("picture").cast("int").alias("picture"))
 

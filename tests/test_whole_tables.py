@@ -67,3 +67,15 @@ def test_media_pool_takes_all_line_items(spark):
     sql = """select news_id, asset_id, min(origin) as origin from (select l_orderkey as news_id, l_partkey as asset_id, 0 as origin from lineitem
         union all select l_orderkey, l_suppkey, 1 from lineitem) group by 1, 2"""
     assert_equal(catalogue.queries()["media_pool"](spark, SF_DIR), sql)
+
+
+def test_rendition_groups_take_all_articles(spark, tmp_path):
+    some = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").where("l_orderkey < 40")
+    some.unionByName(some.withColumn("l_orderkey", some.l_orderkey + 5000)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.queries()["rendition_groups"](spark, str(tmp_path)).collect()
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
+    assert sorted((r.news_id, r.asset_id) for r in found) == sorted(map(tuple, lines))
+    numbers: dict = {}
+    for r in sorted(found, key=lambda r: (r.news_id, r.rank)):
+        own = numbers.setdefault(r.news_id, {})
+        assert r.picture == own.setdefault(r.asset_id % 4, len(own))

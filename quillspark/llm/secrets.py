@@ -1,7 +1,7 @@
 """Secret scans: candidates by shape, judged by a random forest in column expressions.
 
-A candidate is the part of a word (a run without white space) that has a digit,
-a letter and at least ``MIN_LENGTH`` characters of those that keys are made of.
+A candidate is each run, of a word (text without white space), of characters
+that keys are made of, with a digit, a letter and at least ``MIN_LENGTH`` of them.
 Its features are length, character transitions, dictionary coverage, signs of a
 path, and neighbouring words. A random forest is fitted on the driver to at most
 ``MAX_LABELLED`` labelled findings and then written as nested ``when``
@@ -63,39 +63,61 @@ def _features(x: Column, path: Column) -> list[Column]:
         flag(F.lower(path).rlike("test|example|fixture|sample|mock|docs?/")),
         flag(near.rlike(_FOR)),
         flag(near.rlike(_AGAINST)),
-        flag(near.rlike("[=:]\\s*[\"']?\\s*$")),
+        flag(near.rlike(_NAMES)),
         flag(x["quote"]),
         flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         flag(c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
     ]
 
 
-_SHAPE = "([A-Za-z0-9+/_.~@-]*[0-9][A-Za-z0-9+/_.~@-]*={0,2})"
+_OF = "A-Za-z0-9+/_.~@-"
+#: A run with a digit; it begins where no sign of a key stands before it, so that a scan of a word is linear.
+_SHAPE = f"(?<![{_OF}])[A-Za-z+/_.~@-]*+[0-9][{_OF}]*+={{0,2}}"
+#: Characters of a word that are read before a run as its name, and of the words before it.
+NEAR_CHARS = 200
+_NAMES = "[=:]\\s*[\"']?\\s*$"
+
+
+def _runs(word: Column, before: Column) -> Column:
+    """array<struct<finding, near, quote>> of all runs of a word that may be keys.
+
+    A run's near is the text between it and the candidate before it in the word.
+    Where that has no letter, it is the text before the one before, as of keys in
+    a list, or that candidate itself where it names this one.
+    """
+    nothing = F.from_json(F.lit("[]"), "array<struct<finding:string,near:string,quote:boolean>>")
+    start = F.struct(before.alias("near"), F.lit("").alias("last"), F.lit("").alias("open"), nothing.alias("found"))
+    gaps, runs = F.regexp_extract_all(word, F.lit(f"(?s)(.*?)({_SHAPE})"), F.lit(1)), F.regexp_extract_all(word, F.lit(f"(?s)(.*?)({_SHAPE})"), F.lit(2))
+
+    def step(state: Column, x: Column) -> Column:
+        own = F.concat(state["open"], x["gap"])
+        named = F.concat(state["last"], own)
+        first = F.size(state["found"]) == 0
+        near = F.when(first, F.concat(state["near"], F.lit(" "), own)).when(own.rlike("\\p{L}"), own).when(named.rlike(_NAMES), named).otherwise(F.concat(state["near"], own))
+        near = F.right(near, F.lit(2 * NEAR_CHARS))
+        one = F.struct(x["run"].alias("finding"), near.alias("near"), own.rlike("[\"'`]$").alias("quote"))
+        fit = (F.length(x["run"]) >= MIN_LENGTH) & x["run"].rlike("[A-Za-z]")
+        taken = F.struct(near.alias("near"), x["run"].alias("last"), F.lit("").alias("open"), F.concat(state["found"], F.array(one)).alias("found"))
+        passed = F.struct(state["near"].alias("near"), state["last"].alias("last"), F.right(F.concat(own, x["run"]), F.lit(NEAR_CHARS)).alias("open"), state["found"].alias("found"))
+        return F.when(fit, taken).otherwise(passed)
+
+    return F.aggregate(F.zip_with(gaps, runs, lambda g, r: F.struct(g.alias("gap"), r.alias("run"))), start, step, lambda state: state["found"])
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<place, finding, near, quote>> of a text; place is the word's number."""
+    """array<struct<place, finding, near, quote>> of a text; place is the word's number, which all its findings have."""
     parts = F.split(text, "\\s+")
-    numbered = F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word"), F.regexp_extract(w, _SHAPE, 1).alias("finding")))
-    fit = F.filter(
-        F.filter(numbered, lambda x: F.length(x["finding"]) >= MIN_LENGTH), lambda x: x["finding"].rlike("[A-Za-z]")
-    )
+    numbered = F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word")))
+    fit = F.filter(numbered, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"))
 
-    def near(x: Column) -> Column:
+    def before(x: Column) -> Column:
         begin = F.greatest(x["place"] - 3, F.lit(0))
-        before = F.array_join(F.slice(parts, begin + 1, x["place"] - begin), " ")
-        own = F.split_part(x["word"], x["finding"], F.lit(1))
-        return F.concat(before, F.lit(" "), own)
-
-    return F.transform(
-        fit,
-        lambda x: F.struct(
-            x["place"].alias("place"),
-            x["finding"].alias("finding"),
-            near(x).alias("near"),
-            F.split_part(x["word"], x["finding"], F.lit(1)).rlike("[\"'`]$").alias("quote"),
-        ),
-    )
+        return F.right(F.array_join(F.slice(parts, begin + 1, x["place"] - begin), " "), F.lit(NEAR_CHARS))
+
+    def of_word(x: Column) -> Column:
+        return F.transform(_runs(x["word"], before(x)), lambda r: F.struct(x["place"].alias("place"), r["finding"].alias("finding"), r["near"].alias("near"), r["quote"].alias("quote")))
+
+    return F.flatten(F.transform(fit, of_word))
 
 
 @dataclass

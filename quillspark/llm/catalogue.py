@@ -32,7 +32,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), sure_words=substring.SURE_RUN_WORDS)
 
 
 def op6_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:

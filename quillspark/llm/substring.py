@@ -28,6 +28,8 @@ from quillspark.llm.textbytes import NOT_SPACE, U, Words, mix, powers, ragged, s
 
 SPAN = 2
 MIN_RUN_WORDS = 20
+#: The registered query takes out each repeated run of so many words; shorter ones are common phrases.
+SURE_RUN_WORDS = 8
 #: A sentence of more words is cut at its commas, semicolons and colons too.
 LONG_SENTENCE = 12
 SCHEMA = "doc_id long, n_sentences long, n_removed long, n_words long, n_words_removed long, text string"
@@ -83,7 +85,7 @@ def _runs(size: int):
     return run
 
 
-def _cleaned(size: int, least: int):
+def _cleaned(size: int, least: int, sure_words: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             again = batch.column(2).to_pylist()
@@ -93,7 +95,8 @@ def _cleaned(size: int, least: int):
                 starts, length, key = spans(h, row, size)
                 n_words = np.diff(np.append(head, len(w.hashes)))
                 bounds, span_bounds = np.searchsorted(row, np.arange(end - first + 1)), np.searchsorted(row[starts], np.arange(end - first + 1))
-                covered = np.zeros(len(head) + 1, np.int64)
+                upto = np.concatenate([[0], np.cumsum(n_words)])
+                covered, sure = np.zeros(len(head) + 1, np.int64), np.zeros(len(head) + 1, np.int64)
                 for k, found in enumerate(again[first:end]):
                     for x in found or ():
                         at = span_bounds[k] + x["place"]
@@ -101,10 +104,13 @@ def _cleaned(size: int, least: int):
                         if at < span_bounds[k + 1] and int(key[at : at + 1].view(np.int64)[0]) == x["run"]:
                             covered[starts[at]] += 1
                             covered[starts[at] + length[at]] -= 1
+                            if sure_words is not None and upto[starts[at] + length[at]] - upto[starts[at]] >= sure_words:
+                                sure[starts[at]] += 1
+                                sure[starts[at] + length[at]] -= 1
                 gone = np.cumsum(covered)[:-1] > 0
                 stretch = np.cumsum(np.concatenate([[0], (gone[1:] != gone[:-1]) | (row[1:] != row[:-1])])) if len(gone) else np.zeros(0, np.int64)
                 if len(gone):
-                    gone &= np.bincount(stretch, weights=n_words)[stretch] >= least
+                    gone &= (np.bincount(stretch, weights=n_words)[stretch] >= least) | (np.cumsum(sure)[:-1] > 0)
                 texts = []
                 for k in range(end - first):
                     a, b = bounds[k], bounds[k + 1]
@@ -126,9 +132,12 @@ def _cleaned(size: int, least: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, min_run_words: int = MIN_RUN_WORDS, sure_words: int | None = None) -> DataFrame:
     """Each document without its repeated sentences, and what was removed.
 
+    With ``sure_words``, the sentences of each repeated run of so many words or
+    more go too, however short the stretch of covered sentences around it is.
+
     docs: doc_id, text; other columns are left out. A null text stays null and
     an empty one empty. Rows that repeat an id and text are one document: none
     counts as a repetition of the other. A row with a null id keeps its text.
@@ -141,4 +150,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, min_run_words: int = MIN_R
     repeated = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
     again = runs.join(repeated, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
     again = again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "run")).alias("again"))
-    return texts.join(again, "doc_id", "left").mapInArrow(_cleaned(span, min_run_words), SCHEMA)
+    return texts.join(again, "doc_id", "left").mapInArrow(_cleaned(span, min_run_words, sure_words), SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark import settings
@@ -140,8 +140,12 @@ _TOKENS = f"list_filter(regexp_split_to_array(lower({{u}}), '[^\\p{{L}}\\p{{N}}]
     from (select d.doc_id, b.item_id, {_sql(_TOKENS, 'b.text')} as a, {_sql(_TOKENS, 'd.text')} as t from documents d join benchmark b on d.doc_id % 40 = b.item_id)"""
 )
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    joined = docs.select("doc_id", "text").join(items.select("item_id", F.col("text").alias("title")), F.col("doc_id") % 40 == F.col("item_id"))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    # each document meets the item whose number is its id modulo their count; numbers go by id, so that every item takes part
+    ids = items.select("item_id").distinct()
+    numbered = ids.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("number"))
+    one = docs.select("doc_id", "text").crossJoin(F.broadcast(ids.agg(F.count("*").alias("of")))).withColumn("number", F.when(F.col("of") > 0, F.pmod("doc_id", "of"))).drop("of")
+    joined = one.join(numbered, "number").join(items, "item_id")
     return joined.select("doc_id", "item_id", scores.overlap(F.col("title"), F.col("text")).alias("overlap"))
 
 

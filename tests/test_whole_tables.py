@@ -79,3 +79,15 @@ def test_rendition_groups_take_all_articles(spark, tmp_path):
     for r in sorted(found, key=lambda r: (r.news_id, r.rank)):
         own = numbers.setdefault(r.news_id, {})
         assert r.picture == own.setdefault(r.asset_id % 4, len(own))
+
+
+def test_token_overlap_takes_all_items(spark, tmp_path):
+    spark.createDataFrame([(k, f"word{k} some text") for k in range(400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"word{k} of item") for k in (*range(45), 77, 1000)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalogue.queries()["token_overlap"](spark, str(tmp_path)).collect()
+    ids = [*range(45), 77, 1000]
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, ids[k % 47]) for k in range(400)]
+
+
+def test_token_overlap_equals_its_sql_on_forty_items(spark):
+    assert_equal(catalogue.queries()["token_overlap"](spark, SF_DIR), catalogue.oracle_sql()["token_overlap"])

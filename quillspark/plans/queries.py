@@ -164,7 +164,7 @@ def caption_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     (select doc_id, list_filter(list_transform(string_split(text, ' ')[1:8], lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}_]', '', 'g'))), lambda x: length(x) >= 2) as w from documents))"""
 )
 def hashtag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", texts.hashtags(F.slice(F.split("text", " "), 1, 8)).alias("hashtags"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.hashtags(F.split("text", " ")).alias("hashtags"))
 
 
 @query("select doc_id, case when length(f) <= 500 then f else rtrim(f[1:500]) || '…' end as excerpt from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from documents)")
@@ -422,8 +422,8 @@ def send_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, 'media/2024/01/original/' || sha256(html) || '.html' as storage_key, case when page_id % 3 = 0 then html[1:20] else replace(replace(replace(html[1:20], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') end as head from pages")
 def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = times.storage_key("original", F.lit(NOW).cast("timestamp"), F.sha2("html", 256), F.lit("html"))
-    head = F.substring("html", 1, 20)
-    return table(spark, sf_dir, "pages").select("page_id", key.alias("storage_key"), F.when(F.col("page_id") % 3 == 0, head).otherwise(texts.escape(head)).alias("head"))
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", key.alias("storage_key"), F.when(F.col("page_id") % 3 == 0, html).otherwise(texts.escape(html)).alias("head"))
 
 
 @query("select doc_id, lpad((1 + doc_id % 28)::varchar, 2, '0') || ' ' || ['Jan','Feb','Mar'][1 + (doc_id % 3)::int] || ' 2023' as stated, make_timestamp(2023, 1 + doc_id % 3, 1 + doc_id % 28, 0, 0, 0.0) as published from documents where doc_id % 5 <> 0 union all select doc_id, 'Sep 10', null from documents where doc_id % 5 = 0")

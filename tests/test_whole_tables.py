@@ -91,3 +91,13 @@ def test_token_overlap_takes_all_items(spark, tmp_path):
 
 def test_token_overlap_equals_its_sql_on_forty_items(spark):
     assert_equal(catalogue.queries()["token_overlap"](spark, SF_DIR), catalogue.oracle_sql()["token_overlap"])
+
+
+def test_hashtags_and_escapes_take_whole_texts(spark, tmp_path):
+    tags = "a b, c d -- e f g One one Two three four five"
+    html = "<!DOCTYPE html><html><p>Salt & pepper > <b>none</b></p>"
+    spark.createDataFrame([(1, tags)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, html), (3, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.hashtags for r in catalogue.queries()["hashtag"](spark, str(tmp_path)).collect()] == ["#one #two #three #four"]
+    escaped = html.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    assert {r.page_id: r["head"] for r in catalogue.queries()["storage_keys"](spark, str(tmp_path)).collect()} == {1: escaped, 3: html}

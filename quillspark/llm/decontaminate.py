@@ -159,6 +159,62 @@ def _verdict(items: set[str], least: int) -> tuple[int, str, bool]:
     return len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(items) >= least
 
 
+def _deal(items: DataFrame, block_chars: int) -> list[DataFrame]:
+    """The items in blocks of at most ``block_chars`` characters, but for an item that is longer by itself.
+
+    Items are hashed into many small buckets; the driver gets a sum for each,
+    and lays buckets together while they fit.
+    """
+    sized = items.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    if total <= block_chars:
+        return [items]
+    n = 64 * -(-int(total) // block_chars)
+    while True:
+        bucket = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n))
+        sums = sized.groupBy(bucket.alias("bucket")).agg(F.sum("size"), F.count("*")).collect()
+        if all(size <= block_chars or many == 1 for _, size, many in sums) or n >= 1 << 20:
+            break
+        n *= 4
+    blocks, room = [[]], block_chars
+    for k, size, _ in sorted(map(tuple, sums)):
+        if size > room and blocks[-1]:
+            blocks.append([])
+            room = block_chars
+        blocks[-1].append(k)
+        room -= size
+    return [items.where(bucket.isin(own)) for own in blocks]
+
+
+def _items_of(block: Block, rows: np.ndarray, window: np.ndarray, n: int, least_words: int = 0) -> list[set[str]]:
+    """The items of each of n texts, of windows of at least so many words."""
+    items: list[set[str]] = [set() for _ in range(n)]
+    fit = block.size[window] >= least_words
+    for r, x in zip(rows[fit].tolist(), window[fit].tolist(), strict=True):
+        items[r].update(block.items[x])
+    return items
+
+
+def _filtered(shared, at: int, last: bool):
+    """Whole rows with what a block adds to the ids of their items; the last block's pass leaves contaminated rows out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column(at)):
+                w = words(data, offsets, ALNUM, lower=True)
+                begins, window = occurrences(w, block)
+                rows = w.rows()[begins]
+                own = batch.slice(first, end - first)
+                whole, known = own.columns[:-2], [x or [] for x in own.column(own.num_columns - 2).to_pylist()]
+                full = np.asarray(own.column(own.num_columns - 1).to_pylist(), bool) | (np.bincount(rows[block.size[window] >= WINDOW], minlength=end - first) > 0)
+                items = [sorted({*x, *y}) for x, y in zip(known, _items_of(block, rows, window, end - first), strict=True)]
+                out = pa.RecordBatch.from_arrays([*whole, pa.array(items, pa.list_(pa.string())), pa.array(full)], own.schema.names)
+                yield out.filter(pa.array([not f and len(x) < MIN_ITEMS for f, x in zip(full.tolist(), items, strict=True)])) if last else out
+
+    return run
+
+
 def _scanned(shared, least: int, keyed: bool):
     """Final rows, or with ``keyed`` the hits of one block."""
 
@@ -171,9 +227,7 @@ def _scanned(shared, least: int, keyed: bool):
                 size = block.size[window]
                 rows = w.rows()[begins]
                 ids, n_words = batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(w.counts)
-                items: list[set[str]] = [set() for _ in range(end - first)]
-                for r, x in zip(rows.tolist(), window.tolist(), strict=True):
-                    items[r].update(block.items[x])
+                items = _items_of(block, rows, window, end - first)
                 if keyed:
                     keys = [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in batch.column(1).slice(first, end - first).to_pylist()]
                     order = np.argsort(rows, kind="stable")
@@ -212,6 +266,37 @@ def _merged(least: int):
     return run
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> list:
+    """The benchmark as broadcast blocks, whose windows' prefixes are their rarest shingles in all documents."""
+    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
+    found = []
+    for own in _deal(items, block_chars):
+        block, member, count = build([tuple(x) for x in own.collect()])
+        counts = docs.select("text").mapInArrow(_counted(block.shingles), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        block = choose(block, member, count, dict(map(tuple, counts.collect())) if block.shingles else {})
+        found.append(docs.sparkSession.sparkContext.broadcast(block))
+    return found
+
+
+def leave_out(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a whole window of an item, or the windows of ``MIN_ITEMS`` items.
+
+    A window of ``WINDOW`` words speaks for itself. An item of fewer words is a
+    window too, but may be a common phrase, so that one such item alone isn't
+    enough. docs: text and any other columns, which stay as they are; rows
+    are judged each by itself, repeated ids and rows too. A null or empty text
+    holds nothing and stays. Texts of any length are taken whole. Without items
+    all rows stay; an empty table stays empty. No row leaves its task.
+    """
+    blocks = _blocks(docs, benchmark, block_chars)
+    items, full = (next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k}") not in docs.columns) for name in ("items", "full"))
+    found = docs.withColumn(items, F.expr("cast(array() as array<string>)")).withColumn(full, F.lit(False))
+    at, schema = docs.columns.index("text"), found.schema
+    for k, shared in enumerate(blocks, 1):
+        found = found.mapInArrow(_filtered(shared, at, k == len(blocks)), schema)
+    return found.drop(items, full)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, least_items: int = MIN_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Words, hit words and items of each document.
 
@@ -223,17 +308,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, least_items: int = MIN_ITEMS, bl
     rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-int(chars) // block_chars))
-    scans = []
-    for k in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        block, member, count = build([tuple(x) for x in own.collect()])
-        counts = texts.select("text").mapInArrow(_counted(block.shingles), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        block = choose(block, member, count, dict(map(tuple, counts.collect())) if block.shingles else {})
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        scans.append(texts.mapInArrow(_scanned(shared, least_items, n_blocks > 1), SCHEMA if n_blocks == 1 else _HITS))
+    blocks = _blocks(docs, benchmark, block_chars)
+    n_blocks = len(blocks)
+    scans = [texts.mapInArrow(_scanned(shared, least_items, n_blocks > 1), SCHEMA if n_blocks == 1 else _HITS) for shared in blocks]
     if n_blocks == 1:
         return scans[0]
     # rows that are equal in id and text have equal results, so they may be merged and given out again

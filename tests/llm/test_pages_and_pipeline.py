@@ -67,7 +67,7 @@ def test_pipeline_stages(spark):
             kept = {r.doc_id for r in neardup.groups(now).where("kept").collect()}
             assert {r.doc_id for r in out.collect()} == kept
         if k == 2:
-            bad = {r.doc_id for r in decontaminate.scan(now, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").collect()}
+            bad = {r.doc_id for r in decontaminate.scan(now, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_items > 0").collect()}
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in now.collect()} - bad
         if k == 3:
             assert out.count() == now.count() and secrets.scan(out).where("secret").count() == 0
@@ -75,3 +75,28 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in now.collect()}
         now = out
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_one_passage_of_one_item_is_enough(spark, tmp_path):
+    """Counted by hand: an eight-word passage goes, seven words stay, one short item stays, two go."""
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, item), (2, "rare phrase"), (3, "other phrase"), (4, None), (None, "plain words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {
+        1: "before ALPHA, beta gamma delta epsilon zeta eta theta after",
+        2: "beta gamma delta epsilon zeta eta theta",
+        3: "a rare phrase alone",
+        4: "a rare phrase and an other phrase",
+        5: None,
+        6: "",
+        7: "plain words",
+        8: "x " * 50000 + item + " y" * 50000,
+    }
+    rows = [(k, t, "en", "s", 1) for k, t in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[0], rows[1]], "doc_id long, text string, lang string, source string, n_chars long").withColumn("items0", F.lit(1))
+    out = corpus_pipeline.drop_benchmark_passages(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns[:-1]
+    assert sorted(r.doc_id for r in out.collect()) == [2, 2, 3, 5, 6, 7]
+    for block in (10**6, 12):
+        kept = decontaminate.leave_out(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3, 5, 6, 7]
+    assert decontaminate.leave_out(docs.limit(0), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0

@@ -1,15 +1,16 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? with any signs behind them and white
-space, and at line ends). Every run of ``SPAN`` consecutive sentences is hashed
-by its words; a text with fewer sentences is one run. Runs are joined globally:
-of equal runs the one with the least document and place is the first, and the
-sentences of all others are covered. Covered sentences go where an unbroken
-stretch of them has at least ``MIN_RUN_WORDS`` words, so that a short phrase
-that many documents share stays.
-
-Counting runs is a sum before the shuffle, and only hashes that occur twice
-meet the runs again, in a join that can be split where a run is very common.
+A text is cut into sentences at places that its own marks define: after any of
+. ! ? , ; : with the signs behind it and white space, and at line ends. Cutting at
+the marks inside of long sentences too lets a passage that begins or ends within
+a sentence be found. Every run of ``SPAN`` consecutive sentences is hashed by its
+words; a text with fewer sentences is one run. Runs are joined globally: of equal
+runs the one with the least document and place is the first, and every sentence
+that any other covers is removed. ``SPAN`` is the only guard of short phrases.
+
+Counting runs is a sum before the shuffle. Only runs that occur twice meet the
+runs again, as a written table, so that the join can be split where a run is very
+common.
 """
 
 from __future__ import annotations
@@ -26,15 +27,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import Workspace
 from quillspark.llm.textbytes import NOT_SPACE, U, Words, mix, powers, ragged, slices, words
 
-SPAN = 2
-MIN_RUN_WORDS = 20
-#: The registered query takes out each repeated run of so many words; shorter ones are common phrases.
-SURE_RUN_WORDS = 8
-#: A sentence of more words is cut at its commas, semicolons and colons too.
-LONG_SENTENCE = 12
+SPAN = 5
 SCHEMA = "doc_id long, n_sentences long, n_removed long, n_words long, n_words_removed long, text string"
-_END = re.compile(rb"[.!?][\"')\]}*#$%&|<>!?.,;:]*\s+|\n+")
-_PAUSE = re.compile(rb"[,;:][*#$%&|<>]*\s+")
+_END = re.compile(rb"[.!?,;:][\"')\]}*#$%&|<>!?.,;:]*\s+|\n+")
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
@@ -42,9 +37,6 @@ def sentences(w: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     """(first word, hash, text) of each sentence that has a word."""
     ends = np.fromiter((m.end() for m in _END.finditer(data.tobytes())), np.int64)
     first = np.unique(np.searchsorted(w.starts, np.concatenate([offsets[:-1], ends])))
-    pauses = np.searchsorted(w.starts, np.fromiter((m.end() for m in _PAUSE.finditer(data.tobytes())), np.int64))
-    whole = np.searchsorted(first, pauses, side="right") - 1
-    first = np.unique(np.concatenate([first, pauses[np.diff(np.append(first, len(w.hashes)))[whole] > LONG_SENTENCE]]))
     first = first[first < len(w.hashes)]
     if not len(first):
         return first, np.zeros(0, np.uint64), first
@@ -85,32 +77,27 @@ def _runs(size: int):
     return run
 
 
-def _cleaned(size: int, least: int, sure_words: int | None = None):
+def _cleaned(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            again = batch.column(2).to_pylist()
+            again = batch.column(2)
+            of_row, found = pc.list_parent_indices(again).to_numpy(), pc.list_flatten(again)
+            places, runs = found.field("place").to_numpy(zero_copy_only=False), found.field("run").to_numpy(zero_copy_only=False)
             for first, end, data, offsets in slices(batch.column(1)):
                 w = words(data, offsets, NOT_SPACE)
                 head, h, row = sentences(w, data, offsets)
                 starts, length, key = spans(h, row, size)
                 n_words = np.diff(np.append(head, len(w.hashes)))
                 bounds, span_bounds = np.searchsorted(row, np.arange(end - first + 1)), np.searchsorted(row[starts], np.arange(end - first + 1))
-                upto = np.concatenate([[0], np.cumsum(n_words)])
-                covered, sure = np.zeros(len(head) + 1, np.int64), np.zeros(len(head) + 1, np.int64)
-                for k, found in enumerate(again[first:end]):
-                    for x in found or ():
-                        at = span_bounds[k] + x["place"]
-                        # a row that shares its id with another text only takes what fits its own
-                        if at < span_bounds[k + 1] and int(key[at : at + 1].view(np.int64)[0]) == x["run"]:
-                            covered[starts[at]] += 1
-                            covered[starts[at] + length[at]] -= 1
-                            if sure_words is not None and upto[starts[at] + length[at]] - upto[starts[at]] >= sure_words:
-                                sure[starts[at]] += 1
-                                sure[starts[at] + length[at]] -= 1
+                own = np.flatnonzero((of_row >= first) & (of_row < end))
+                at, upto = span_bounds[of_row[own] - first] + places[own], span_bounds[of_row[own] - first + 1]
+                own, at = own[at < upto], at[at < upto]
+                # a row that shares its id with another text only takes what fits its own
+                at = at[key[at].view(np.int64) == runs[own]]
+                covered = np.zeros(len(head) + 1, np.int64)
+                np.add.at(covered, starts[at], 1)
+                np.add.at(covered, starts[at] + length[at], -1)
                 gone = np.cumsum(covered)[:-1] > 0
-                stretch = np.cumsum(np.concatenate([[0], (gone[1:] != gone[:-1]) | (row[1:] != row[:-1])])) if len(gone) else np.zeros(0, np.int64)
-                if len(gone):
-                    gone &= (np.bincount(stretch, weights=n_words)[stretch] >= least) | (np.cumsum(sure)[:-1] > 0)
                 texts = []
                 for k in range(end - first):
                     a, b = bounds[k], bounds[k + 1]
@@ -132,22 +119,22 @@ def _cleaned(size: int, least: int, sure_words: int | None = None):
     return run
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, min_run_words: int = MIN_RUN_WORDS, sure_words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Each document without its repeated sentences, and what was removed.
 
-    With ``sure_words``, the sentences of each repeated run of so many words or
-    more go too, however short the stretch of covered sentences around it is.
-
     docs: doc_id, text; other columns are left out. A null text stays null and
     an empty one empty. Rows that repeat an id and text are one document: none
     counts as a repetition of the other. A row with a null id keeps its text.
-    Texts of any length are taken whole; an empty table gives no rows.
+    A text of which all is repeated becomes empty. Texts of any length are taken
+    whole; an empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_runs(span), "run long, doc_id long, place int")
     runs = space.save(runs, "runs")
-    repeated = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    again = runs.join(repeated, "run").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
-    again = again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "run")).alias("again"))
-    return texts.join(again, "doc_id", "left").mapInArrow(_cleaned(span, min_run_words, sure_words), SCHEMA)
+    repeated = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("at")).where("n > 1")
+    repeated = space.save(repeated.select("run", F.col("at.doc_id").alias("first_id"), F.col("at.place").alias("first_place")), "repeated")
+    again = runs.join(repeated, "run").where((F.col("doc_id") != F.col("first_id")) | (F.col("place") != F.col("first_place")))
+    again = space.save(again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "run")).alias("again")), "again")
+    space.drop("runs", "repeated")
+    return texts.join(again, "doc_id", "left").mapInArrow(_cleaned(span), SCHEMA)

@@ -137,54 +137,94 @@ def test_quality_references_and_verdicts(spark):
     assert share[1] > 0.97 and share[0] < 0.1
 
 
-def test_substring_against_brute_force(docs, none):
-    def cut(text):
-        """Sentences as word tuples, by the rules of the operator."""
-        parts, at = [], 0
-        data = (text or "").encode()
-        ends = [m.end() for m in substring._END.finditer(data)]
-        for e in [*ends, len(data)]:
-            part = data[at:e]
-            w = re.findall(rb"[^\x20\x09-\x0D]+", part)
-            if len(w) > substring.LONG_SENTENCE:
-                inner, a = [], 0
-                for m in substring._PAUSE.finditer(part):
-                    inner.append(part[a : m.end()])
-                    a = m.end()
-                parts += [*inner, part[a:]]
-            else:
-                parts.append(part)
-            at = e
-        return [tuple(w) for p in parts if (w := re.findall(rb"[^\x20\x09-\x0D]+", p))]
-
-    unique = {(r[0], r[1]): cut(r[1]) for r in ROWS if r[0] is not None}
+def by_hand(text: str | None) -> list[tuple[str, ...]]:
+    """Sentences as word tuples, cut by a walk over the characters."""
+    blank, found, now, word, mark = " \t\n\r\f\v", [], [], "", False
+
+    def close():
+        nonlocal now
+        if now:
+            found.append(tuple(now))
+        now = []
+
+    for c in [*(text or ""), "\n"]:
+        if c in blank:
+            if word:
+                now.append(word)
+                # the word's signs at its end hold a mark that nothing but signs follow
+                tail = len(word)
+                while tail and word[tail - 1] in "\"')]}*#$%&|<>!?.,;:":
+                    tail -= 1
+                mark = any(x in ".!?,;:" for x in word[tail:])
+                if mark:
+                    close()
+            word = ""
+            if c == "\n":
+                close()
+        else:
+            word += c
+    return found
+
+
+def expect_removed(rows, span):
+    """{(doc_id, text): which sentences go} by comparing every run with every earlier one."""
+    unique = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda x: (x[0], x[1] or ""))
+    cut = {x: by_hand(x[1]) for x in unique}
     first: dict = {}
-    for (doc_id, _), s in sorted(unique.items(), key=lambda x: (x[0][0], x[0][1] or "")):
-        n = min(2, len(s))
+    for x in unique:
+        s = cut[x]
+        n = min(span, len(s))
         for k in range(len(s) - n + 1 if s else 0):
-            first.setdefault(tuple(s[k : k + n]), (doc_id, k))
-    for r in substring.remove_repeats(docs).collect():
+            first.setdefault(tuple(s[k : k + n]), (x[0], k))
+            first[tuple(s[k : k + n])] = min(first[tuple(s[k : k + n])], (x[0], k))
+    gone = {}
+    for x in unique:
+        s, n = cut[x], min(span, len(cut[x]))
+        gone[x] = [False] * len(s)
+        for k in range(len(s) - n + 1 if s else 0):
+            if first[tuple(s[k : k + n])] != (x[0], k):
+                gone[x][k : k + n] = [True] * n
+    return cut, gone
+
+
+@pytest.mark.parametrize("span", [2, substring.SPAN])
+def test_substring_against_brute_force(docs, none, span):
+    cut, gone = expect_removed(ROWS, span)
+    for r in substring.remove_repeats(docs, span).collect():
         text = next(x[1] for x in ROWS if x[0] == r.doc_id)
-        s = cut(text)
-        n, gone = min(2, len(s)), [False] * len(s)
-        for k in range(len(s) - n + 1 if s and r.doc_id is not None else 0):
-            if first[tuple(s[k : k + n])] != (r.doc_id, k):
-                gone[k : k + n] = [True] * n
-        k = 0
-        while k < len(s):
-            e = k
-            while e < len(s) and gone[e] == gone[k]:
-                e += 1
-            if gone[k] and sum(map(len, s[k:e])) < substring.MIN_RUN_WORDS:
-                gone[k:e] = [False] * (e - k)
-            k = e
-        assert (r.n_sentences, r.n_removed, r.n_words_removed) == (len(s), sum(gone), sum(len(x) for x, g in zip(s, gone, strict=True) if g))
-        left = [w for x, g in zip(s, gone, strict=True) if not g for w in x]
-        assert re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()) == left
+        s = cut.get((r.doc_id, text), by_hand(text))
+        lost = gone.get((r.doc_id, text), [False] * len(s))
+        assert (r.n_sentences, r.n_removed, r.n_words_removed) == (len(s), sum(lost), sum(len(x) for x, g in zip(s, lost, strict=True) if g))
+        left = [w for x, g in zip(s, lost, strict=True) if not g for w in x]
+        assert re.findall(r"[^\x20\x09-\x0D]+", r.text or "") == left
         assert (r.text is None) == (text is None)
+    assert any(any(g) for g in gone.values())
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_planted_passages_are_removed_and_clean_texts_stay(spark):
+    """Passages of 60 words in the midst of other sentences; every other text is its own."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 6)))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + r.choice([". ", ", ", "! ", ".\n"])
+    prose = lambda n: "".join(sentence(r.randint(1, 12)) for _ in range(n))
+    passages = [prose(11).split() for _ in range(4)]
+    rows = []
+    for k in range(60):
+        own = prose(r.randint(6, 40)).split()
+        if k % 3 == 0:
+            at = r.randrange(len(own))
+            own[at:at] = passages[k % 4][:70]
+        rows.append((k, " ".join(own)))
+    found = {x.doc_id: x for x in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {next(k for k in range(0, 60, 3) if k % 4 == j) for j in range(4)}
+    for k, text in rows:
+        if k % 3 or k in first:
+            assert (found[k].n_removed, found[k].text) == (0, text)
+        else:
+            assert found[k].n_words_removed >= 20
+
+
 def test_neardup_against_all_pairs(docs, none):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))

@@ -1,12 +1,14 @@
 """Secret scans: candidates by shape, judged by a random forest in column expressions.
 
-A candidate is each run, of a word (text without white space), of characters
-that keys are made of, with a digit, a letter and at least ``MIN_LENGTH`` of them.
-Its features are length, character transitions, dictionary coverage, signs of a
-path, and neighbouring words. A random forest is fitted on the driver to at most
-``MAX_LABELLED`` labelled findings and then written as nested ``when``
-expressions, so that a scan is one narrow projection inside the JVM: no Python,
-no shuffle, no row of text leaves its task.
+A candidate is, in a word (text without white space), each run of at least
+``MIN_LENGTH`` characters that keys are made of, or of any characters in quotes,
+which either mixes letters and digits or is the value of a naming word (``secret =
+...``), as pass phrases have no digit. Its features are length, character
+transitions, dictionary coverage, signs of a path, and neighbouring words.
+The dictionary is a fixed list and the corpus' own common words, counted over all
+documents. A random forest is fitted on the driver to at most ``MAX_LABELLED``
+labelled findings and then written as nested ``when`` expressions, so that a scan is
+one narrow projection inside the JVM: no Python, and no row of text leaves its task.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ MAX_LABELLED = 4000
 TREES, DEPTH, LEAST_LEAF = 15, 6, 4
 THRESHOLD = 0.5
 MARK = "[secret]"
+#: How many of the corpus' commonest words, of how many letters, join the dictionary.
+CORPUS_WORDS, WORD_LETTERS = 1000, (4, 14)
 #: Words (fixed values) whose presence in a candidate speaks for prose, names or code.
 DICTIONARY = (
     "about access account admin after agent alert alpha apache archive array asset author backup banner basic batch beta binary block branch browser buffer build bundle "
@@ -37,14 +41,22 @@ DICTIONARY = (
     "trace track train type unit update upload user utils value version video view volume with word work world"
 ).split()
 _PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|ou|le|io|de|ra|ie|ei|ch|qu|un|la|el"
-_FOR = "(?i)key|token|secret|passw|pwd|auth|credential|bearer|private|signature"
+_FOR = "(?i)(?:key|token|secret|passw|pwd|auth|credential|bearer|private|signature)"
 _AGAINST = "(?i)sha[0-9]|commit|hash|md5|checksum|uuid|guid|version|revision|digest|build|etag|example|sample|dummy|placeholder|request|trace|order|license|mail|http|page"
 FEATURES = (
-    "length transitions digits uppers distinct dictionary pairs slashes dots at_sign test_path word_for word_against assigned quoted hex uuid_form".split()
+    "length transitions digits uppers distinct dictionary pairs slashes dots joints at_sign test_path word_for word_against assigned quoted hex uuid_form".split()
 )
 
 
-def _features(x: Column, path: Column) -> list[Column]:
+def common_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """The words that most documents hold, of those in two or more; counted over all rows, summed before the shuffle."""
+    low, high = WORD_LETTERS
+    found = F.array_distinct(F.filter(F.split(F.lower(F.col("text")), "[^\\p{L}]+"), lambda w: F.length(w).between(low, high)))
+    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _features(x: Column, path: Column, dictionary: list[str]) -> list[Column]:
     """Features of a finding; x has finding, near (words before it and the rest of its own) and quote."""
     c, near, n = x["finding"], x["near"], F.length(x["finding"]).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
@@ -55,10 +67,11 @@ def _features(x: Column, path: Column) -> list[Column]:
         share("[0-9]"),
         share("[A-Z]"),
         F.size(F.array_distinct(F.split(c, ""))) / n,
-        (n - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))) / n,
+        (n - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(dictionary, key=lambda w: (-len(w), w))), ""))) / n,
         F.regexp_count(F.lower(c), F.lit(_PAIRS)) / n,
         share("/"),
         share("[.]"),
+        share("[_-]|[a-z](?=[A-Z][a-z])"),
         flag(F.contains(c, F.lit("@"))),
         flag(F.lower(path).rlike("test|example|fixture|sample|mock|docs?/")),
         flag(near.rlike(_FOR)),
@@ -70,12 +83,14 @@ def _features(x: Column, path: Column) -> list[Column]:
     ]
 
 
-_OF = "A-Za-z0-9+/_.~@-"
-#: A run with a digit; it begins where no sign of a key stands before it, so that a scan of a word is linear.
-_SHAPE = f"(?<![{_OF}])[A-Za-z+/_.~@-]*+[0-9][{_OF}]*+={{0,2}}"
+_OF = "A-Za-z0-9+/_.~@\\-"
+#: What stands in quotes and holds no sign of a list, a pair or markup; else a run of a key's signs, with padding that no value follows.
+_SHAPE = f"(?<=[\"'])[^\"'\\s=:,;{{}}\\[\\]<>&]{{{MIN_LENGTH},}}+(?=[\"'])|(?<![{_OF}])[{_OF}]++(?:={{1,2}}(?![{_OF}\"'=]))?"
 #: Characters of a word that are read before a run as its name, and of the words before it.
 NEAR_CHARS = 200
 _NAMES = "[=:]\\s*[\"']?\\s*$"
+#: A naming word right before the sign that gives a value its name.
+_NAMED = f"(?:{_FOR}[{_OF}]*[\"'\\])]*\\s*:?[=:]>?|(?i)bearer)\\s*[\"'`]?\\s*$"
 
 
 def _runs(word: Column, before: Column) -> Column:
@@ -96,7 +111,8 @@ def _runs(word: Column, before: Column) -> Column:
         near = F.when(first, F.concat(state["near"], F.lit(" "), own)).when(own.rlike("\\p{L}"), own).when(named.rlike(_NAMES), named).otherwise(F.concat(state["near"], own))
         near = F.right(near, F.lit(2 * NEAR_CHARS))
         one = F.struct(x["run"].alias("finding"), near.alias("near"), own.rlike("[\"'`]$").alias("quote"))
-        fit = (F.length(x["run"]) >= MIN_LENGTH) & x["run"].rlike("[A-Za-z]")
+        mixed = x["run"].rlike("[A-Za-z]") & x["run"].rlike("[0-9]")
+        fit = (F.length(x["run"]) >= MIN_LENGTH) & (mixed | near.rlike(_NAMED))
         taken = F.struct(near.alias("near"), x["run"].alias("last"), F.lit("").alias("open"), F.concat(state["found"], F.array(one)).alias("found"))
         passed = F.struct(state["near"].alias("near"), state["last"].alias("last"), F.right(F.concat(own, x["run"]), F.lit(NEAR_CHARS)).alias("open"), state["found"].alias("found"))
         return F.when(fit, taken).otherwise(passed)
@@ -108,7 +124,9 @@ def _candidates(text: Column) -> Column:
     """array<struct<place, finding, near, quote>> of a text; place is the word's number, which all its findings have."""
     parts = F.split(text, "\\s+")
     numbered = F.transform(parts, lambda w, i: F.struct(i.alias("place"), w.alias("word")))
-    fit = F.filter(numbered, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike("[0-9]") & x["word"].rlike("[A-Za-z]"))
+    mixed = lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]")
+    valued = lambda x: x["word"].rlike("[=:]") | F.when(x["place"] > 0, F.get(parts, x["place"] - 1).rlike("[=:]>?[\"'`]?$|(?i)bearer$")).otherwise(F.lit(False))
+    fit = F.filter(numbered, lambda x: (F.length(x["word"]) >= MIN_LENGTH) & (mixed(x["word"]) | valued(x)))
 
     def before(x: Column) -> Column:
         begin = F.greatest(x["place"] - 3, F.lit(0))
@@ -175,83 +193,144 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     """Made findings with labels: path, text (whose last candidate is meant), label.
 
     A stand-in for findings that reviewers have labelled. True ones are random
-    keys of several alphabets behind a naming word; false ones are digests of
-    files and commits, identifiers, versions, addresses, paths, codes and
-    placeholders, some of them behind a naming word too.
+    keys of several alphabets, passwords with signs and pass phrases behind a
+    naming word; false ones are digests of files and commits, identifiers, versions,
+    addresses, paths, codes, names of code and placeholders, half of them behind a
+    naming word too. Both have the same paths, quotes, signs and leads; test paths
+    are only commoner among false ones.
     """
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
     noise = lambda salt: F.sha2(F.concat_ws("-", "id", F.lit(salt)), 512)
     base64 = lambda salt: F.regexp_replace(F.base64(F.unhex(noise(salt))), "[\\r\\n=]", "")
     size = lambda salt, low, high: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("int")
     cut = lambda text, length: text.substr(F.lit(1), length)
-    name = pick("name", "token", "api_key", "secret", "password", "auth_token", "private_key", "access_key", "client_secret")
-    sign = pick("sign", " = ", ": ", "=", " := ")
-    quote = pick("quote", '"', "'", "", '"')
-    key = F.when(F.col("id") % 4 == 0, cut(noise("a"), size("s1", 32, 64))).when(F.col("id") % 4 == 1, cut(base64("b"), size("s2", 24, 64)))
-    key = key.when(F.col("id") % 4 == 2, F.concat(pick("prefix", "AKIA", "ghp_", "sk_live_", "xoxb-"), cut(F.regexp_replace(base64("c"), "[+/]", "x"), size("s3", 16, 40))))
-    key = key.otherwise(F.concat(cut(base64("d"), size("s4", 12, 24))))
-    true_text = F.concat(pick("lead", "", "the ", "export ", "set the ", "const "), name, sign, quote, key, F.lit("7"), quote)
-    word = lambda salt: pick(salt, *DICTIONARY[::9])
+    word = lambda salt: pick(salt, *DICTIONARY[::3])
+    kind = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most))
+
+    def choose(salt: str, *texts: Column) -> Column:
+        chosen = texts[-1]
+        for k, text in enumerate(texts[:-1]):
+            chosen = F.when(kind(salt, len(texts)) == k, text).otherwise(chosen)
+        return chosen
+
+    name = pick("name", "token", "api_key", "secret", "password", "auth_token", "private_key", "access_key", "client_secret", "db_passwd", "credential")
+    sign, quote = pick("sign", " = ", ": ", "=", " := ", ":"), pick("quote", '"', "'", "", '"')
+    lead = pick("lead", "", "the ", "export ", "set the ", "const ", "see ")
+    named = lambda value: F.concat(lead, name, sign, quote, value, quote)
+    quoted = lambda value: F.concat(lead, name, sign, F.lit('"'), value, F.lit('"'))
+    plain = F.regexp_replace(base64("c"), "[+/]", "x")
+    pairs = F.array(*map(F.lit, _PAIRS.split("|")))
+    spoken = F.array_join(F.transform(F.sequence(F.lit(1), size("p6", 7, 13)), lambda i: F.get(pairs, F.pmod(F.xxhash64("id", i), F.size(pairs)).cast("int"))), "")
+    phrase = F.when(kind("p7", 3) > 0, spoken).otherwise(F.concat(word("p1"), word("p2"), word("p3"), F.when(kind("p5", 2) == 0, word("p4")).otherwise(F.lit(""))))
+    true_text = choose(
+        "true",
+        named(cut(noise("a"), size("s1", 32, 64))),
+        named(cut(base64("b"), size("s2", 24, 64))),
+        named(F.concat(pick("prefix", "AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-"), cut(plain, size("s3", 16, 40)))),
+        named(cut(base64("d"), size("s4", 12, 24))),
+        named(F.upper(cut(noise("e"), size("s5", 20, 40)))),
+        quoted(F.concat(cut(plain, size("s6", 6, 10)), pick("odd", "!", "$", "#", "%", "*"), cut(base64("g"), size("s7", 6, 10)))),
+        quoted(phrase),
+        F.concat(lead, pick("url", "https://host.example/x?token=", "postgres://svc:", "Authorization: Bearer "), cut(plain, size("s8", 20, 40))),
+    )
     uuid = F.regexp_replace(cut(noise("u"), F.lit(32)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
-    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(10))
-    false_text = F.when(kind == 0, F.concat(pick("of", "commit ", "sha256: ", "md5 checksum ", "revision ", "digest: "), cut(noise("f"), pick("len", 32, 40, 64))))
-    false_text = false_text.when(kind == 1, F.concat(pick("uid", "uuid ", "request id ", "trace: ", "guid = "), uuid))
-    false_text = false_text.when(kind == 2, F.concat(word("w1"), F.lit("_"), word("w2"), F.lit("_"), word("w3"), F.lit("_v"), F.col("id") % 30))
-    false_text = false_text.when(kind == 3, F.concat(F.lit("mail to "), word("w4"), F.lit("."), F.col("id") % 97, F.lit("@mail"), F.col("id") % 9, F.lit(".example.com")))
-    false_text = false_text.when(kind == 4, F.concat(F.lit("see "), word("w5"), F.lit("/"), word("w6"), F.lit("/"), word("w7"), F.col("id") % 50, F.lit(".json")))
-    false_text = false_text.when(kind == 5, F.concat(name, sign, quote, word("w8"), F.lit("-"), word("w9"), F.lit("-example-"), F.col("id") % 1000, quote))
-    false_text = false_text.when(kind == 6, F.concat(F.lit("version "), F.col("id") % 20, F.lit("."), F.col("id") % 13, F.lit(".0-"), word("w10"), F.lit("-build"), F.col("id")))
-    false_text = false_text.when(kind == 7, F.concat(name, sign, quote, F.lit("xxxxxxxxxxxxxxxx0000"), F.col("id") % 7, quote))
-    false_text = false_text.when(kind == 8, F.concat(F.lit("order number "), F.upper(word("w11")), F.lit("-2024-"), F.col("id"), F.lit("-A")))
-    false_text = false_text.otherwise(F.concat(name, sign, quote, F.lit("your_"), word("w12"), F.lit("_key_here_"), F.col("id") % 100, quote))
-    true_row = F.xxhash64("id", F.lit("label")) % 2 == 0
-    path = F.when(true_row, pick("path", "src/app.py", "", "config/prod.env", "src0")).otherwise(pick("path2", "tests/fixtures/data.json", "", "docs/readme.md", "src0"))
+    number = lambda salt, most: kind(salt, most).cast("string")
+    snake = F.concat_ws("_", word("w1"), word("w2"), word("w3"))
+    camel = F.concat(word("w1"), F.initcap(word("w2")), F.initcap(word("w3")))
+    about = lambda salt, *xs: F.concat(pick(salt, *xs), quote)
+    false_text = choose(
+        "false",
+        F.concat(lead, about("of", "commit ", "sha256: ", "md5 checksum ", "revision ", "digest: ", "etag="), cut(noise("f"), pick("len", 32, 40, 64)), quote),
+        F.concat(lead, about("uid", "uuid ", "request id ", "trace: ", "guid = "), uuid, quote),
+        F.concat(lead, snake, F.lit("_v"), number("n1", 30)),
+        F.concat(F.lit("mail to "), word("w4"), F.lit("."), number("n2", 97), F.lit("@mail"), number("n3", 9), F.lit(".example.com")),
+        F.concat(lead, word("w5"), F.lit("/"), word("w6"), F.lit("/"), word("w7"), number("n4", 50), F.lit(".json")),
+        named(F.concat(word("w8"), F.lit("-"), word("w9"), pick("mid", "-example-", "-sample-", "-test-"), number("n5", 1000))),
+        F.concat(lead, F.lit("version "), number("n6", 20), F.lit("."), number("n7", 13), F.lit(".0-"), word("w10"), F.lit("-build"), number("n8", 5000)),
+        named(F.concat(pick("filler", "xxxxxxxxxxxxxxxx", "00000000aaaa0000", "****************", "1234567890abcdef"), number("n9", 7))),
+        F.concat(lead, F.lit("order number "), F.upper(word("w11")), F.lit("-2024-"), number("n10", 9000), F.lit("-A")),
+        named(F.concat(pick("your", "your_", "my_", "insert_"), word("w12"), F.lit("_key_here_"), number("n11", 100))),
+        named(snake),
+        named(F.concat(camel, F.lit("."), word("w13"))),
+        F.concat(lead, name, pick("colon", ": ", " = "), spoken),
+        named(F.concat(F.lit("config/"), word("w14"), F.lit("/"), word("w15"), F.lit(".pem"))),
+    )
+    true_row = kind("label", 2) == 0
+    tests = F.when(true_row, kind("where", 4) == 0).otherwise(kind("where", 2) == 0)
+    path = F.when(tests, pick("path", "tests/fixtures/data.json", "docs/readme.md", "examples/run.sh")).otherwise(pick("path2", "src/app.py", "", "config/prod.env", "src0"))
     return spark.range(n).select(path.alias("path"), F.when(true_row, true_text).otherwise(false_text).alias("text"), true_row.cast("double").alias("label"))
 
 
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Leaf | Split]:
-    """A forest for labelled findings (path, text, label); of more than the bound, those with the least hash of text."""
-    found = labelled.withColumn("x", F.element_at(_candidates(F.col("text")), -1)).where(F.col("x").isNotNull())
-    rows = found.select(*[f.cast("double").alias(f"f{k}") for k, f in enumerate(_features(F.col("x"), F.coalesce("path", F.lit(""))))], "label", F.xxhash64("text").alias("h"))
+@dataclass
+class Model:
+    """A forest, and the dictionary that its features read."""
+
+    trees: list[Leaf | Split]
+    dictionary: list[str]
+
+
+def train(labelled: DataFrame, words: list[str] | tuple = (), max_labelled: int = MAX_LABELLED) -> Model:
+    """A model for labelled findings (path, text, label) with ``words`` besides the fixed dictionary.
+
+    Of more labelled findings than the bound, those with the least hash of text.
+    """
+    dictionary = sorted({*DICTIONARY, *words})
+    found = labelled.withColumn("x", F.try_element_at(_candidates(F.col("text")), F.lit(-1))).where(F.col("x").isNotNull())
+    rows = found.select(*[f.cast("double").alias(f"f{k}") for k, f in enumerate(_features(F.col("x"), F.coalesce("path", F.lit("")), dictionary))], "label", F.xxhash64("text").alias("h"))
     rows = rows.orderBy("h", *[f"f{k}" for k in range(len(FEATURES))], "label").limit(max_labelled).drop("h").collect()
     if not rows:
-        return [Leaf(0.0)]
+        return Model([Leaf(0.0)], dictionary)
     table = np.array([tuple(r) for r in rows])
-    return fit(table[:, :-1], table[:, -1])
+    return Model(fit(table[:, :-1], table[:, -1]), dictionary)
+
 
+def default_model(docs: DataFrame) -> Model:
+    """A model of the made findings and the corpus' common words."""
+    return train(labelled_findings(docs.sparkSession), common_words(docs))
 
-def findings_of(text: Column, path: Column, forest: list[Leaf | Split]) -> Column:
+
+def findings_of(text: Column, path: Column, model: Model) -> Column:
     """array<struct<place, finding, probability, secret>> of a text."""
-    found = F.when(text.rlike("[0-9]"), _candidates(text))
-    featured = F.transform(found, lambda x: F.struct(x["place"].alias("place"), x["finding"].alias("finding"), *[f.cast("double").alias(f"f{k}") for k, f in enumerate(_features(x, path))]))
+    found = F.when(text.rlike("[0-9=:]"), _candidates(text))
+    featured = F.transform(found, lambda x: F.struct(x["place"].alias("place"), x["finding"].alias("finding"), *[f.cast("double").alias(f"f{k}") for k, f in enumerate(_features(x, path, model.dictionary))]))
 
     def judged(x: Column) -> Column:
-        votes = reduce(lambda a, b: a + b, [_as_column(t, x) for t in forest])
-        return F.struct(x["place"].alias("place"), x["finding"].alias("finding"), F.round(votes / len(forest), 6).alias("probability"))
+        votes = reduce(lambda a, b: a + b, [_as_column(t, x) for t in model.trees])
+        return F.struct(x["place"].alias("place"), x["finding"].alias("finding"), F.round(votes / len(model.trees), 6).alias("probability"))
 
     scored = F.transform(featured, judged)
     return F.transform(scored, lambda x: F.struct(x["place"], x["finding"], x["probability"], (x["probability"] >= THRESHOLD).alias("secret")))
 
 
-def scan(docs: DataFrame, forest: list[Leaf | Split] | None = None) -> DataFrame:
+def _path(docs: DataFrame) -> Column:
+    """Where a text comes from: path or url, else source."""
+    known = next((c for c in ("path", "url", "source") if c in docs.columns), None)
+    return F.coalesce(F.col(known).cast("string"), F.lit("")) if known else F.lit("")
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Each candidate with its probability: doc_id, place, finding, probability, secret.
 
-    docs: doc_id, text and, as a path, source; other columns are left out. Null,
+    docs: doc_id, text and, as a path, path, url or source; other columns are
+    left out. place is the number of the word that holds the finding. Null,
     empty and blank texts have no candidates. Repeated rows give their findings
     each. Texts of any length are taken whole; an empty table gives no rows.
     """
-    forest = forest or train(labelled_findings(docs.sparkSession))
-    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    found = docs.select("doc_id", F.explode(findings_of(F.col("text"), path, forest)).alias("x"))
+    model = model or default_model(docs)
+    found = docs.select("doc_id", F.explode(findings_of(F.col("text"), _path(docs), model)).alias("x"))
     return found.select("doc_id", F.col("x.place").cast("long").alias("place"), F.col("x.finding").alias("finding"), F.col("x.probability").alias("probability"), F.col("x.secret").alias("secret"))
 
 
-def redact(docs: DataFrame, forest: list[Leaf | Split] | None = None, mark: str = MARK) -> DataFrame:
-    """docs with each secret in ``text`` replaced by a mark; all rows and columns stay, a null text too."""
-    forest = forest or train(labelled_findings(docs.sparkSession))
-    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    secrets = F.filter(findings_of(F.col("text"), path, forest), lambda x: x["secret"])
+def redact(docs: DataFrame, model: Model | None = None, mark: str = MARK) -> DataFrame:
+    """docs with each secret in ``text`` replaced by a mark, wherever it stands in its text.
+
+    All rows and columns stay; a null or empty text stays as it is, repeated
+    rows are cleaned each by itself, texts of any length are taken whole, and an
+    empty table stays empty. Other columns' names don't matter.
+    """
+    model = model or default_model(docs)
+    secrets = F.filter(findings_of(F.col("text"), _path(docs), model), lambda x: x["secret"])
     # longer ones first, so that one that holds another goes as a whole
-    ordered = F.array_sort(F.transform(secrets, lambda x: F.struct((-F.length(x["finding"])).alias("n"), x["finding"].alias("finding"))))
+    ordered = F.array_sort(F.array_distinct(F.transform(secrets, lambda x: F.struct((-F.length(x["finding"])).alias("n"), x["finding"].alias("finding")))))
     cleaned = F.aggregate(ordered, F.col("text"), lambda text, x: F.replace(text, x["finding"], F.lit(mark)))
     return docs.withColumn("text", F.coalesce(cleaned, F.col("text")))

@@ -317,11 +317,11 @@ def test_language_of_held_out_documents(spark, docs, none):
 
 def test_forest_as_columns_equals_the_forest(spark):
     labelled = secrets.labelled_findings(spark, 600)
-    forest = secrets.train(labelled)
+    model = secrets.train(labelled)
     held_out = secrets.labelled_findings(spark, 1200).where("label is not null").subtract(labelled)
-    x = held_out.withColumn("x", F.element_at(secrets._candidates(F.col("text")), -1)).where("x is not null")
-    features = F.struct(*[f.cast("double").alias(f"f{k}") for k, f in enumerate(secrets._features(F.col("x"), F.col("path")))])
-    votes = sum((secrets._as_column(t, F.col("f")) for t in forest[1:]), secrets._as_column(forest[0], F.col("f"))) / len(forest)
+    x = held_out.withColumn("x", F.try_element_at(secrets._candidates(F.col("text")), F.lit(-1))).where("x is not null")
+    features = F.struct(*[f.cast("double").alias(f"f{k}") for k, f in enumerate(secrets._features(F.col("x"), F.col("path"), model.dictionary))])
+    votes = sum((secrets._as_column(t, F.col("f")) for t in model.trees[1:]), secrets._as_column(model.trees[0], F.col("f"))) / len(model.trees)
     rows = x.withColumn("f", features).withColumn("p", votes).collect()
 
     def walk(tree, f):
@@ -329,19 +329,30 @@ def test_forest_as_columns_equals_the_forest(spark):
             tree = tree.low if f[tree.feature] <= tree.at else tree.high
         return tree.share
 
-    assert all(abs(r.p - sum(walk(t, r.f) for t in forest) / len(forest)) < 1e-9 for r in rows)
+    assert all(abs(r.p - sum(walk(t, r.f) for t in model.trees) / len(model.trees)) < 1e-9 for r in rows)
     assert sum((r.p >= secrets.THRESHOLD) == (r.label == 1) for r in rows) > 0.95 * len(rows)
+    # the label can't be told from where a finding stands: both have the same paths and last characters
+    both = labelled.groupBy("path").agg(F.countDistinct("label").alias("n")).collect()
+    assert all(r.n == 2 for r in both)
 
 
 def test_secrets_are_found_and_redacted(spark, none):
     key = hashlib.sha1(b"k").hexdigest()
     rows = [(1, f'x token = "{key}" y', "src0"), (2, "mail me at the.54@mail3.example.com today", "src0"), (3, None, None), (4, "", "s"), (5, f"commit {key} fixes it", "docs/a"), (6, f'token = "{key}" token = "{key}"', "src0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("x", F.lit(1))
-    found = {(r.doc_id, r.secret) for r in secrets.scan(docs).collect()}
+    model = secrets.default_model(docs)
+    found = {(r.doc_id, r.secret) for r in secrets.scan(docs, model).collect()}
     assert (1, True) in found and (2, True) not in found and (5, True) not in found
-    cleaned = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    cleaned = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
     assert cleaned == {1: 'x token = "[secret]" y', 2: rows[1][1], 3: None, 4: "", 5: rows[4][1], 6: 'token = "[secret]" token = "[secret]"'}
-    assert secrets.scan(none).count() == 0 == secrets.redact(none).count()
+    assert secrets.scan(none, model).count() == 0 == secrets.redact(none, model).count()
+    assert secrets.common_words(none) == []
+    # very long texts and repeated rows
+    long = spark.createDataFrame([(9, "word " * 200_000 + f'token = "{key}"' + " word" * 10, "src0")] * 2, "doc_id long, text string, source string")
+    assert [(r.doc_id, r.finding, r.secret) for r in secrets.scan(long, model).collect()] == [(9, key, True)] * 2
+    # a labelled text without a candidate is left out of the training
+    lone = spark.createDataFrame([("", "no candidate", 1.0)], "path string, text string, label double")
+    assert secrets.train(lone).trees == [secrets.Leaf(0.0)]
 
 
 def test_chat_round_trip(spark):

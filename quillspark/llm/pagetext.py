@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, url string, text string, n_chars long"
 TRAINING_PAGES = 400
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|select|textarea|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z",
+    re.DOTALL,
 )
+#: Elements whose content isn't text of the page: from their tag to their end tag. Without one, only scripts and styles run to the page's end.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in "script style noscript template title svg iframe select textarea object".split()}
+_ENDLESS, _UNSEEN = ("script", "style"), ("script", "style", "noscript", "template")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -103,15 +105,22 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     def pop_to(k: int) -> None:
         del stack[k:]
 
-    for m in _TAG.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if not tag:
-            if m[1]:
-                now = now if m[1].lower() in ("script", "style", "noscript", "template") else None
             continue
-        tag, closing, attributes = tag.lower(), bool(m[2] or m[5]), (m[4] if m[3] else m[7]) or ""
+        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
+        if tag in _RAW and not closing:
+            itself = attributes.rstrip().endswith("/")
+            end = None if itself or tag in unclosed else _RAW[tag].search(page, at)
+            if itself or end or tag in _ENDLESS:
+                at = at if itself else end.end() if end else len(page)
+                now = now if tag in _UNSEEN else None
+                continue
+            unclosed.add(tag)
         if tag == "br":
             add(" ")
             continue

@@ -39,6 +39,44 @@ def test_edge_pages(spark, field):
     assert pagetext.extract(pages.limit(0), field).count() == 0
 
 
+FIRST, LAST = "The first paragraph of this article is long enough to be text.", "The last paragraph of this article must not get lost either."
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<style-guide>{x}</style-guide>",
+        "<title-bar>{x}</title-bar>",
+        "<object-view>{x}</object-view>",
+        "<select-menu>{x}</select-menu>",
+        "<template-card>{x}</template-card>",
+        "<svg/>{x}",
+        '<iframe src="/a"/>{x}',
+        "<textarea>{x}",
+        '<svg aria-label="a > b" />{x}',
+        "<SELECT><option>one</option></SELECT >{x}",
+        "<script src='a.js'/>{x}<script>var x = 1;</script>",
+        "<style>p > a {{}}</style>{x}",
+        "<object data='a'><param name='b'></object>{x}",
+    ],
+)
+def test_no_element_takes_the_rest_of_a_page(field, inner):
+    paragraph = "<p>A paragraph in the middle, which says a little more than the others do.</p>"
+    page = f"<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><article><p>{FIRST}</p>{inner.format(x=paragraph)}<p>{LAST}</p></article></body></html>"
+    assert pagetext.main_text(page, field) == f"{FIRST} {paragraph[3:-4]} {LAST}"
+
+
+def test_unclosed_scripts_run_to_the_end(field):
+    assert pagetext.main_text(f"<article><p>{FIRST}</p><p>{LAST}</p></article><script>var a = '<p>{FIRST}</p>'", field) == f"{FIRST} {LAST}"
+
+
+def test_long_and_repeated_pages(spark, field):
+    page = "<article>" + f"<p>{FIRST} {LAST}</p>" * 4000 + "</article>" + "<select>" * 2000
+    rows = [(1, "u", page), (1, "u", page)]
+    found = pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), field).collect()
+    assert [r.text for r in found] == [" ".join([FIRST, LAST] * 4000)] * 2
+
+
 def test_viterbi_is_the_best_labelling(field):
     import itertools
 

@@ -6,11 +6,11 @@ each of its places by the longest n-gram it knows (4, 3, 2, then 1 characters,
 word ends marked), with the n-grams' log frequencies. A document's score is the
 sum over its words; the answer is the best language.
 
-Training uses at most ``DOCS_PER_LANGUAGE`` labelled documents of each language,
-those with the least hash of their id, and at most ``WORDS_PER_LANGUAGE`` words
-of each, the most frequent; both are parameters. So the model's size, and that of
-the list of chosen documents, has a bound for each language, and both may travel
-to every worker.
+Training uses at most ``DOCS_PER_LANGUAGE`` different labelled documents of each
+language, those with the least hash of their id and text, and all of their words.
+So the model's size has a bound for each language, and it may travel to every
+worker. Words and n-grams are kept as sorted 64-bit hashes beside a table of logs,
+so that a slice of text is scored without an object for each word.
 """
 
 from __future__ import annotations
@@ -21,15 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.quality import per_text
-from quillspark.llm.textbytes import ALNUM, byte_set, slices, words
+from quillspark.llm.textbytes import ALNUM, U, byte_set, mix, powers, ragged, slices, words
 
 DOCS_PER_LANGUAGE = 600
-WORDS_PER_LANGUAGE = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Mean word scores count as those of at most this many words in the confidence.
@@ -40,47 +39,92 @@ _LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 _WIDE = byte_set((0x80, 0xFF))
 
 
+def _points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of ^word$ for each word, word of each)."""
+    size = ends - starts
+    begin = np.cumsum(size + 2) - size - 2
+    marked = np.empty(int((size + 2).sum()), np.uint8)
+    marked[begin], marked[begin + size + 1] = ord("^"), ord("$")
+    marked[ragged(begin + 1, size)] = data[ragged(starts, size)]
+    points = np.frombuffer(marked.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return points, np.cumsum(points == ord("^")) - 1
+
+
+def _grams(points: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places where an n-gram of ``size`` begins within its word, its hash)."""
+    n = len(points) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(word[:n] == word[size - 1 :])
+    power, h = powers(size), np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h += points[at + k] * power[k]
+        return at, mix(h + U(size) * power[1])
+
+
+def _lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of the rows of each."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    total = np.zeros((len(distinct), counts.shape[1]))
+    np.add.at(total, inverse, counts)
+    return distinct, total
+
+
 class Model:
     """Words and n-grams with a log frequency for each language."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.langs = sorted(counts)
-        of_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(self.langs)))
-        of_gram: dict[int, dict[str, np.ndarray]] = {n: defaultdict(lambda: np.zeros(len(self.langs))) for n in ORDERS}
-        for k, lang in enumerate(self.langs):
-            for word, n in counts[lang].items():
-                of_word[word][k] += n
-                marked = f"^{word}$"
-                for size in ORDERS:
-                    for i in range(len(marked) - size + 1):
-                        of_gram[size][marked[i : i + size]][k] += n
-        total = sum(of_word.values(), np.zeros(len(self.langs)))
-        known = [w for w in sorted(of_word) if of_word[w].sum() >= 2]
-        self.words = {w: i for i, w in enumerate(known)}
-        self.word_logs = self._logs(np.array([of_word[w] for w in known]).reshape(len(known), len(self.langs)), total)
-        self.grams: dict[str, int] = {}
-        logs = []
-        for table in of_gram.values():
-            rows = np.array(list(table.values())).reshape(len(table), len(self.langs))
-            self.grams |= {g: len(self.grams) + i for i, g in enumerate(table)}
-            logs.append(self._logs(rows, rows.sum(axis=0)))
-        self.gram_logs = np.concatenate(logs) if logs else np.zeros((0, 0))
+        known = sorted({w for of_lang in counts.values() for w in of_lang})
+        rows = np.array([[counts[lang].get(w, 0) for lang in self.langs] for w in known], float).reshape(len(known), len(self.langs))
+        # each word is one run of a word's bytes, so that its hash is that of the word in a text
+        data = np.frombuffer(" ".join(known).encode(), np.uint8)
+        w = words(data, np.array([0, len(data)]), ALNUM)
+        often = rows.sum(axis=1) >= 2
+        order = np.argsort(w.hashes[often], kind="stable")
+        self.words = w.hashes[often][order]
+        self.word_logs = self._logs(rows[often], rows.sum(axis=0))[order]
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        points, word = _points(w.data, w.starts, w.ends)
+        for size in ORDERS:
+            at, h = _grams(points, word, size)
+            keys, total = _sums(h, rows[word[at]])
+            self.grams.append((keys, self._logs(total, total.sum(axis=0))))
 
     @staticmethod
     def _logs(rows: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.log((rows + SMOOTHING) / (total + SMOOTHING * max(1, len(rows))))
-
-    def of(self, word: str) -> np.ndarray:
-        """A word's log frequency in each language, or that of its n-grams at the mean."""
-        if (at := self.words.get(word)) is not None:
-            return self.word_logs[at]
-        marked, found = f"^{word}$", []
-        for i in range(len(marked)):
-            for size in ORDERS:
-                if i + size <= len(marked) and (at := self.grams.get(marked[i : i + size])) is not None:
-                    found.append(at)
-                    break
-        return self.gram_logs[found].mean(axis=0) if found else np.zeros(len(self.langs))
+        return np.log((rows + SMOOTHING) / (total + SMOOTHING * max(1, len(rows)))).astype(np.float32)
+
+    def logs_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Each word's log frequency in each language, or that of its n-grams at the mean."""
+        out = np.zeros((len(hashes), len(self.langs)), np.float32)
+        at = _lookup(self.words, hashes)
+        out[at >= 0] = self.word_logs[at[at >= 0]]
+        unseen = np.flatnonzero(at < 0)
+        if not len(unseen):
+            return out
+        points, word = _points(data, starts[unseen], ends[unseen])
+        total, n, done = np.zeros((len(unseen), len(self.langs))), np.zeros(len(unseen)), np.zeros(len(points), bool)
+        for size, (keys, logs) in zip(ORDERS, self.grams, strict=True):
+            place, h = _grams(points, word, size)
+            place, h = place[~done[place]], h[~done[place]]
+            found = _lookup(keys, h)
+            place, found = place[found >= 0], found[found >= 0]
+            done[place] = True
+            np.add.at(n, word[place], 1)
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(word[place], weights=logs[found, k], minlength=len(unseen))
+        out[unseen] = total / np.maximum(n, 1)[:, None]
+        return out
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -102,17 +146,44 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words_per_language: int = WORDS_PER_LANGUAGE) -> Model:
-    """A model of the documents with a language that aren't held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
-    counts = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "lang").mapInArrow(_words_of, "lang string, word string, n long")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counts = counts.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= words_per_language)
+def _chosen(labelled: DataFrame, most: int) -> dict[str, int]:
+    """For each language the hash up to which its documents are learned from: that of ``most`` different ones.
+
+    As hashes are even, a share of each language's rows holds enough of them; the
+    driver gets those few hashes, and widens the share where copies left too few.
+    """
+    share = {lang: 4 * most / n for lang, n in map(tuple, labelled.groupBy("lang").count().collect())}
+    cut: dict[str, int] = {}
+    while share:
+        upto = {lang: (1 << 63) - 1 if x >= 1 else int(x * (1 << 64)) - (1 << 63) for lang, x in share.items()}
+        found: dict[str, list[int]] = defaultdict(list)
+        for lang, h in labelled.where(_upto(upto)).select("lang", "h").distinct().collect():
+            found[lang].append(h)
+        for lang in list(share):
+            if len(found[lang]) >= most or share[lang] >= 1:
+                cut[lang] = sorted(found[lang])[:most][-1]
+                del share[lang]
+            else:
+                share[lang] *= 4
+    return cut
+
+
+def _upto(cut: dict[str, int]) -> F.Column:
+    of_lang = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]) if cut else None
+    return F.lit(False) if of_lang is None else F.coalesce(F.col("h") <= F.try_element_at(of_lang, F.col("lang")), F.lit(False))
+
+
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+    """A model of the documents with a language that aren't held out.
+
+    Copies of a chosen document's row are learned from as often as they stand
+    there. A column of languages has few values.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = labelled.where(_upto(_chosen(labelled, docs_per_language))).select("text", "lang")
+    counts = chosen.mapInArrow(_words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_lang: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n, _ in counts.collect():
+    for lang, word, n in counts.collect():
         by_lang[lang][word] = n
     return Model(by_lang)
 
@@ -142,8 +213,8 @@ class Scorer:
         inner = at < len(self.keys)
         new[inner] = self.keys[at[inner]] != keys[inner]
         if new.any():
-            raw = w.data.tobytes()
-            logs = np.array([self.model.of(raw[w.starts[i] : w.ends[i]].decode()) for i in index[new]], np.float32)
+            own = index[new]
+            logs = self.model.logs_of(w.data, w.starts[own], w.ends[own], keys[new])
             self.keys, self.logs = np.insert(self.keys, at[new], keys[new]), np.insert(self.logs, at[new], logs, axis=0)
             at = np.searchsorted(self.keys, keys)
         full = np.flatnonzero(w.counts)

@@ -315,6 +315,68 @@ def test_language_of_held_out_documents(spark, docs, none):
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, langid.predict(docs).collect()))
 
 
+def test_language_scores_against_dictionaries(spark, docs):
+    """Words first, then the longest known n-gram at each place, with plain dictionaries."""
+    import math
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def split(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", pc.utf8_lower(pa.scalar(text or "")).as_py())
+
+    extra = [(100 + k, t, lang, "s", 1, 1, 2, 3, 4, "x", "t") for k, (t, lang) in enumerate([("der hund läuft der katze nach", "de"), ("le chat court après le chien", "fr"), ("the cat runs after the dog", "en"), ("unbekannte wörter läufer", None), ("chiens et chats", None)] * 3)]
+    table = docs.unionByName(spark.createDataFrame(extra, COLUMNS))
+    learned = [r for r in {(*r[:3],) for r in [*ROWS, *extra]} if r[2] is not None and r[1] is not None and (r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2)]
+    often = Counter((*r[:3],) for r in [*ROWS, *extra])
+    langs = sorted({r[2] for r in learned})
+    of_word, of_gram = defaultdict(lambda: [0] * len(langs)), {n: defaultdict(lambda: [0] * len(langs)) for n in (4, 3, 2, 1)}
+    for r in learned:
+        for w in split(r[1]):
+            of_word[w][langs.index(r[2])] += often[r]
+            for n in of_gram:
+                for k in range(len(w) + 3 - n):
+                    of_gram[n][f"^{w}$"[k : k + n]][langs.index(r[2])] += often[r]
+    total = [sum(x[k] for x in of_word.values()) for k in range(len(langs))]
+    known = {w: x for w, x in of_word.items() if sum(x) >= 2}
+    log = lambda x, total, n: [math.log((x[k] + 0.5) / (total[k] + 0.5 * n)) for k in range(len(langs))]
+    gram_total = {n: [sum(x[k] for x in t.values()) for k in range(len(langs))] for n, t in of_gram.items()}
+
+    def of(w):
+        if w in known:
+            return log(known[w], total, len(known))
+        found = []
+        for k in range(len(w) + 2):
+            for n in (4, 3, 2, 1):
+                g = f"^{w}$"[k : k + n]
+                if len(g) == n and g in of_gram[n]:
+                    found.append(log(of_gram[n][g], gram_total[n], len(of_gram[n])))
+                    break
+        return [sum(x) / len(found) for x in zip(*found, strict=True)] if found else [0.0] * len(langs)
+
+    for r in langid.predict(table).collect():
+        text = next(x[1] for x in [*ROWS, *extra] if x[0] == r.doc_id)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        words_of = split(text)
+        mean = [sum(x) / len(words_of) for x in zip(*map(of, words_of), strict=True)]
+        share = [math.exp((x - max(mean)) * min(10, len(words_of))) for x in mean]
+        assert r.lang_pred == langs[share.index(max(share))] or sorted(share)[-1] - sorted(share)[-2] < 1e-4
+        assert abs(r.score - max(share) / sum(share)) < 1e-4
+
+
+def test_languages_learn_from_a_bounded_sample(spark):
+    """A hot language and many copies of one row: as many different documents are chosen as the bound says."""
+    rows = [(k, f"text number {k}", "en") for k in range(900)] + [(7000, "one copy", "de")] * 500 + [(7001 + k, f"wort {k}", "de") for k in range(30)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.xxhash64("doc_id", "text"))
+    cut = langid._chosen(labelled, 20)
+    for lang in ("en", "de"):
+        hashes = sorted({r.h for r in labelled.where(F.col("lang") == lang).collect()})
+        assert cut[lang] == hashes[19]
+    assert langid._chosen(labelled, 5000) == {lang: max(r.h for r in labelled.where(F.col("lang") == lang).collect()) for lang in ("en", "de")}
+
+
 def test_forest_as_columns_equals_the_forest(spark):
     labelled = secrets.labelled_findings(spark, 600)
     model = secrets.train(labelled)

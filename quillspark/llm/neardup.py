@@ -47,7 +47,7 @@ SKETCH_FLOOR = 0.52
 FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 1024, 4096, 0.685
 TILE = 512
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-SKETCHED = "doc_id long, n_shingles long, set1 long, set2 long, sketch array<long>, bands array<long>"
+SKETCHED = "doc_id long, text_key long, n_shingles long, set1 long, set2 long, sketch array<long>, bands array<long>"
 
 
 def most_differing_bits(floor: float = SKETCH_FLOOR, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
@@ -94,7 +94,7 @@ def _as_longs(bits: np.ndarray) -> pa.ListArray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, data, offsets in slices(batch.column(1)):
+        for first, end, data, offsets in slices(batch.column(2)):
             row, h = shingle_sets(words(data, offsets, NOT_SPACE, lower=True))
             rows = end - first
             n = np.bincount(row, minlength=rows)
@@ -112,7 +112,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         bands[:, k // ROWS] = (bands[:, k // ROWS] + sample) * _ODD
             bands = mix(bands)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            columns = [batch.column(0).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), _as_longs(bits), keys]
+            columns = [batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(n.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), _as_longs(bits), keys]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCHED.split(", ")])
 
 
@@ -255,23 +255,25 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     docs: doc_id, text; other columns are left out. A null, empty or blank text
     has an empty set and is linked with nothing; a null doc_id is linked with
     nothing and kept, with a null component. Repeated rows have the same set and
-    component. doc_id names a text: if it stands for several, each row is linked
-    by its own text. Texts of any length are taken whole; an empty table gives
-    no rows.
+    component. If a doc_id stands for several texts, each row is linked by its own
+    text; a row is kept where its id is its component's least one, so that two
+    texts of one id may both be kept. Texts of any length are taken whole; an
+    empty table gives no rows.
     """
     space = Workspace(docs.sparkSession, "neardup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = space.save(texts.mapInArrow(_sketched, SKETCHED), "sketched")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    sketched = space.save(texts.select("doc_id", "text_key", "text").mapInArrow(_sketched, SKETCHED), "sketched")
     whole = ["n_shingles", "set1", "set2"]
     sets_known = sketched.where("n_shingles > 0 and doc_id is not null")
-    nodes = space.save(sets_known.groupBy(*whole).agg(F.min("doc_id").alias("doc")), "nodes")
-    own = sets_known.join(nodes, sets_known.doc_id == nodes.doc, "left_semi").select(F.col("doc_id").alias("doc"), "sketch", "bands")
+    # a set is a node; its key is made of the set alone, as a doc_id may stand for several texts
+    nodes = space.save(sets_known.groupBy(*whole).agg(F.min("doc_id").alias("least_id")).withColumn("doc", F.xxhash64(*whole)), "nodes")
+    own = sets_known.join(nodes.withColumnRenamed("least_id", "doc_id"), [*whole, "doc_id"]).select("doc", "doc_id", "text_key", "sketch", "bands")
     own = space.save(own.dropDuplicates(["doc"]), "own")
     banded = own.select("doc", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc")).alias("first")).where("n > 1").select("bucket", F.col("first.doc").alias("pivot"))
     members = space.save(banded.join(buckets, "bucket"), "members")
-    wanted = space.save(members.select("doc").distinct(), "wanted")
-    chosen = texts.join(wanted, texts.doc_id == wanted.doc, "left_semi").dropDuplicates(["doc_id"])
+    wanted = own.join(members.select("doc").distinct(), "doc", "left_semi").select("doc", "doc_id", "text_key")
+    chosen = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc", "text")
     sets = space.save(chosen.mapInArrow(_sets, "doc long, shingles binary, fine array<long>"), "sets")
     sketches = own.select("doc", "sketch")
 
@@ -290,9 +292,14 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
         more = space.save(_confirm(pairs, sets, percent), f"{step}-links")
         comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, step)
         space.drop(f"{step}-open", f"{step}-pairs")
-    space.drop("members", "wanted", "sets", "own")
-    roots = nodes.join(comps, nodes.doc == comps.node, "left").select(*whole, F.coalesce("component", "doc").alias("root"))
-    found = sketched.select("doc_id", *whole).join(roots, whole, "left")
+    # a component's least node has no row of its own among them
+    of_all = comps.select(F.col("node").alias("doc"), "component").unionByName(comps.select(F.col("component").alias("doc"), "component").distinct())
+    linked = nodes.join(of_all, "doc")
+    roots = space.save(linked.groupBy("component").agg(F.min("least_id").alias("root")), "roots")
+    named = linked.join(roots, "component").select(*whole, "root")
+    named = space.save(nodes.select(*whole, "least_id").join(named, whole, "left").select(*whole, F.coalesce("root", "least_id").alias("root")), "named")
+    space.drop("members", "sets", "own", "nodes", "roots")
+    found = sketched.select("doc_id", *whole).join(named, whole, "left")
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

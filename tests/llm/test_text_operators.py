@@ -255,6 +255,57 @@ def test_neardup_against_all_pairs(docs, none):
     assert neardup.groups(none).count() == 0
 
 
+def test_a_doc_id_of_several_texts_is_linked_by_each(spark):
+    """Whatever the rows' order: id 7 stands for A and B, id 3 is near A, id 5 near B; 2 repeats A."""
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, " ".join([*a, "z"])), (5, " ".join([*b, "z"])), (9, "apart from all others it is"), (7, " ".join(a))]
+    expected = Counter([(7, 56, 3, False)] * 2 + [(7, 56, 5, False), (3, 57, 3, True), (5, 57, 5, True), (9, 2, 9, True)])
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        found = neardup.groups(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == expected
+
+
+@pytest.mark.parametrize("hot_rows", [1, 256])
+def test_components_with_hot_nodes(spark, tmp_path, monkeypatch, hot_rows):
+    from quillspark.llm import components
+    from quillspark.llm.shared import Workspace
+
+    monkeypatch.setattr(components, "HOT_ROWS", hot_rows)
+    r = random.Random(4)
+    edges = [(1000, k) for k in range(1, 400)] + [(k, k + 1) for k in range(2000, 2040)] + [tuple(r.sample(range(3000, 3300), 2)) for _ in range(200)] + [(5, 5), (1000, 7)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        x, y = sorted((find(u), find(v)))
+        root[y] = x
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    found = components.components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "test"), "c").collect()
+    assert {r.node: r.component for r in found if r.node != r.component} == {x: find(x) for x in nodes if find(x) != x}
+
+
+def test_recall_of_pairs_near_the_limit(spark):
+    """200 pairs of similarity 0.75 to 0.80, each apart from all others: every one is linked."""
+    r = random.Random(8)
+    rows, pairs = [], []
+    for k in range(200):
+        n = r.randint(60, 300)
+        base = [f"{k}x{j}" for j in range(n + 4)]
+        # a changed tail of t words takes t shingles from each side
+        t = next(t for t in range(n, 0, -1) if 0.75 <= (n - t) / (n + t))
+        t -= r.randint(0, t // 6)
+        other = base[: len(base) - t] + [f"{k}y{j}" for j in range(t)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        pairs.append((n - t) / (n + t))
+    assert 0.75 <= min(pairs) <= max(pairs) <= 0.82 and sum(p < 0.76 for p in pairs) > 20
+    found = {x.doc_id: x.component_id for x in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(200)) == 200
+
+
 def test_tiles_find_what_pairs_find():
     import numpy as np
 

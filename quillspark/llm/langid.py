@@ -183,8 +183,9 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     chosen = labelled.where(_upto(_chosen(labelled, docs_per_language))).select("text", "lang")
     counts = chosen.mapInArrow(_words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_lang: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in counts.collect():
-        by_lang[lang][word] = n
+    for batch in counts.toArrow().to_batches():
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by_lang[lang][word] = n
     return Model(by_lang)
 
 

@@ -260,14 +260,38 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     texts of one id may both be kept. Texts of any length are taken whole; an
     empty table gives no rows.
     """
-    space = Workspace(docs.sparkSession, "neardup")
+    found = _grouped(docs, percent, tile, floor, Workspace(docs.sparkSession, "neardup"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group: that with the least doc_id, and of its texts that with the least hash.
+
+    All columns stay as they are. A row without words or id is in no group and
+    stays; of rows that repeat an id and a text one stays, the least by its
+    columns. An empty table stays empty.
+    """
+    space = Workspace(docs.sparkSession, "kept")
+    key = ["doc_id", "text_key"]
+    found = space.save(_grouped(docs, percent, TILE, SKETCH_FLOOR, space), "found").where("n_shingles > 0 and doc_id is not null")
+    marks = found.groupBy(*key).agg(F.count("*").alias("n"), F.bool_and("first").alias("first")).where("n > 1 or not first")
+    marks = space.save(marks.select(F.col("doc_id").alias("_marked"), F.col("text_key").alias("_key"), "first"), "marks")
+    here = (F.col("doc_id").cast("long") == F.col("_marked")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    single = docs.join(marks, here, "left_anti")
+    again = docs.join(marks.where("first"), here, "left_semi")
+    again = again.groupBy(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.unionByName(again.select("_row.*"))
+
+
+def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Workspace) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, and first: whether a row is its component's first (each without a set is)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketched = space.save(texts.select("doc_id", "text_key", "text").mapInArrow(_sketched, SKETCHED), "sketched")
     whole = ["n_shingles", "set1", "set2"]
     sets_known = sketched.where("n_shingles > 0 and doc_id is not null")
     # a set is a node; its key is made of the set alone, as a doc_id may stand for several texts
-    nodes = space.save(sets_known.groupBy(*whole).agg(F.min("doc_id").alias("least_id")).withColumn("doc", F.xxhash64(*whole)), "nodes")
-    own = sets_known.join(nodes.withColumnRenamed("least_id", "doc_id"), [*whole, "doc_id"]).select("doc", "doc_id", "text_key", "sketch", "bands")
+    nodes = space.save(sets_known.groupBy(*whole).agg(F.min(F.struct("doc_id", "text_key")).alias("least")).withColumn("doc", F.xxhash64(*whole)), "nodes")
+    own = sets_known.join(nodes.select(*whole, "doc", "least.doc_id", "least.text_key"), [*whole, "doc_id", "text_key"]).select("doc", "doc_id", "text_key", "sketch", "bands")
     own = space.save(own.dropDuplicates(["doc"]), "own")
     banded = own.select("doc", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc")).alias("first")).where("n > 1").select("bucket", F.col("first.doc").alias("pivot"))
@@ -295,13 +319,14 @@ def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: flo
     # a component's least node has no row of its own among them
     of_all = comps.select(F.col("node").alias("doc"), "component").unionByName(comps.select(F.col("component").alias("doc"), "component").distinct())
     linked = nodes.join(of_all, "doc")
-    roots = space.save(linked.groupBy("component").agg(F.min("least_id").alias("root")), "roots")
+    roots = space.save(linked.groupBy("component").agg(F.min("least").alias("root")), "roots")
     named = linked.join(roots, "component").select(*whole, "root")
-    named = space.save(nodes.select(*whole, "least_id").join(named, whole, "left").select(*whole, F.coalesce("root", "least_id").alias("root")), "named")
+    named = space.save(nodes.select(*whole, "least").join(named, whole, "left").select(*whole, F.coalesce("root", "least").alias("root")), "named")
     space.drop("members", "sets", "own", "nodes", "roots")
-    found = sketched.select("doc_id", *whole).join(named, whole, "left")
-    found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = sketched.select("doc_id", "text_key", *whole).join(named, whole, "left")
+    found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root.doc_id", "doc_id")))
+    first = F.coalesce((F.col("doc_id") == F.col("root.doc_id")) & (F.col("text_key") == F.col("root.text_key")), F.lit(True))
+    return found.select("doc_id", "text_key", "n_shingles", "component_id", first.alias("first"))
 
 
 def _differing(a: str, b: str):

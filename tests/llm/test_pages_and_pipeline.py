@@ -138,3 +138,32 @@ def test_one_passage_of_one_item_is_enough(spark, tmp_path):
         kept = decontaminate.leave_out(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), block)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3, 5, 6, 7]
     assert decontaminate.leave_out(docs.limit(0), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(7, a, "x"), (7, a + " z", "x"), (7, b, "x"), (8, b, "x"), (9, b + " y", "x"), (7, b, "w"), (10, None, "x"), (10, None, "x"), (11, "", "x"), (None, a, "x"), (12, "alone and apart from all others", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string").withColumn("first", F.lit(0)).withColumn("n", F.lit(1))
+    for order in (docs, docs.orderBy(F.desc("text"), "found")):
+        kept = neardup.keep_one(order)
+        assert kept.columns == docs.columns
+        found = sorted(((r.doc_id, r.text, r.found) for r in kept.collect()), key=str)
+        mine = [x for x in found if x[0] == 7 and x[1] != b]
+        assert len(mine) == 1 and sorted([x for x in found if x not in mine], key=str) == sorted([(7, b, "w"), (10, None, "x"), (10, None, "x"), (11, "", "x"), (None, a, "x"), (12, rows[-1][1], "x")], key=str)
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pipeline_on_edge_tables(spark, tmp_path):
+    """Nulls, repeated rows, a very long text, columns with the stages' own names; and no rows at all."""
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).withColumn("lang_pred", F.lit("x")).withColumn("secret", F.lit(1)).write.parquet(f"{tmp_path}/some")
+    some = spark.read.parquet(f"{tmp_path}/some")
+    first = some.first()
+    long = some.limit(1).withColumn("doc_id", F.lit(-5)).withColumn("text", F.repeat(F.lit("some words of prose, "), 50_000))
+    rows = some.unionByName(some.where(F.col("doc_id") == first.doc_id)).unionByName(long).unionByName(some.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-6)))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in packed}) > 10 and -5 in {r.doc_id for r in packed} and -6 not in {r.doc_id for r in packed}
+    assert all(sum(r.length for r in packed if r.doc_id == d) == next(r.doc_tokens for r in packed if r.doc_id == d) for d in {r.doc_id for r in packed})
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,11 +35,18 @@ def match_confidence(distance: Column, threshold: int = settings.HAMMING_THRESHO
     return F.round(F.lit(1.0) - distance / F.lit(max(1, 2 * threshold)), 2)
 
 
-def bands(hash64: Column, count: int) -> Column:
-    """The 64 bits in ``count`` pieces; hashes that differ in fewer bits than there are pieces share one."""
-    binary = F.concat(F.lpad(F.bin(_half(hash64, 0)), 32, "0"), F.lpad(F.bin(_half(hash64, 1)), 32, "0"))
-    edges = [64 * k // count for k in range(count + 1)]
-    return F.array(*(F.concat(F.lit(f"{k}:"), F.substring(binary, a + 1, b - a)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def pieces(hash64: Column, count: int, near: int = 0) -> Column:
+    """The 64 bits in ``count`` pieces, as array<long>, each with its number; and all that differ from one in at most ``near`` bits."""
+    value = F.conv(hash64, 16, -10).cast("long")
+
+    def piece(k: int) -> Column:
+        a, b = 64 * k // count, 64 * (k + 1) // count
+        flips = [sum(1 << x for x in chosen) for n in range(near + 1) for chosen in itertools.combinations(range(b - a), n)]
+        own = F.shiftrightunsigned(value, 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        masks = F.from_json(F.lit(json.dumps(flips)), "array<bigint>")
+        return F.get(F.transform(F.array(own), lambda x: F.transform(masks, lambda flip: x.bitwiseXOR(flip) * F.lit(count) + F.lit(k))), F.lit(0))
+
+    return F.concat(*map(piece, range(count)))
 
 
 def _grey(image: pd.DataFrame) -> list[np.ndarray | None]:

@@ -31,10 +31,13 @@ def article_priority(title: Column, content: Column, chars: int = 4000) -> Colum
 
 def overlap(title: Column, text: Column) -> Column:
     """Share of the title's words that a caption has, of three at least; 0.2 where either has none."""
-    a, b = texts.tokens(title), texts.tokens(text)
-    hits = F.size(texts.overlap_with_multiplicity(a, b))
-    share = F.least(F.lit(1.0), hits / F.greatest(F.lit(3), F.size(a)))
-    return F.when((F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0), 0.2).otherwise(share)
+
+    def share(x: Column) -> Column:
+        hits = F.size(texts.overlap_with_multiplicity(x["a"], x["b"]))
+        empty = (F.coalesce(F.size(x["a"]), F.lit(0)) <= 0) | (F.coalesce(F.size(x["b"]), F.lit(0)) <= 0)
+        return F.when(empty, 0.2).otherwise(F.least(F.lit(1.0), hits / F.greatest(F.lit(3), F.size(x["a"]))))
+
+    return texts.let(F.struct(texts.tokens(title).alias("a"), texts.distinct_tokens(text).alias("b")), share)
 
 
 def position(at: Column, total: Column) -> Column:
@@ -166,6 +169,7 @@ def is_retryable(status: Column) -> Column:
 
 def send_outcome(ok: Column, status: Column, description: Column, retry_after: Column, message_id: Column) -> Column:
     """What became of a sent post."""
+    # What a platform says of media that it can't take.
     rejected = F.lower(description).rlike("wrong file|failed to get http url content|wrong type of the web page|webpage_curl_failed|webpage_media_empty|photo_invalid_dimensions|media_empty|image_process_failed")
     return (
         F.when(status.isNull() | (status >= 500), "delivery_unknown")

@@ -12,6 +12,11 @@ from quillspark import settings
 EMOJI = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}](?:\\x{FE0F}|[\\x{1F3FB}-\\x{1F3FF}])?"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_if_blank(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
@@ -33,13 +38,23 @@ def candidate_text(title: Column, summary: Column) -> Column:
 
 def tokens(text: Column, stopwords: list[str] = settings.STOPWORDS) -> Column:
     """Lower-cased words with their repetitions, without stopwords."""
-    words = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(stopwords))
+    return F.filter(word_list(text), lambda w: (w != "") & ~w.isin(stopwords))
+
+
+def word_list(text: Column) -> Column:
+    """Lower-cased words, maybe with an empty one at an end."""
+    return F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
+
+
+def distinct_tokens(text: Column, stopwords: list[str] = settings.STOPWORDS) -> Column:
+    """The different words of ``tokens``, by a hashed set."""
+    return F.array_except(word_list(text), F.array(*map(F.lit, ["", *stopwords])))
 
 
 def overlap_with_multiplicity(left: Column, right: Column) -> Column:
     """The elements of left that right has too; repeated ones stay."""
-    return F.filter(left, lambda w: F.array_contains(right, w))
+    both = let(F.struct(left.alias("left"), F.array_intersect(left, right).alias("common")), lambda x: F.filter(x["left"], lambda w: F.array_contains(x["common"], w)))
+    return F.when(right.isNotNull(), both)
 
 
 def sanitise(text: Column, max_emoji: int = 3) -> Column:
@@ -52,24 +67,35 @@ def sanitise(text: Column, max_emoji: int = 3) -> Column:
 
 def cap_emoji(text: Column, most: int = 3) -> Column:
     """Emoji beyond the first ones go: text is cut at them, and only the first come back."""
-    found = F.regexp_extract_all(text, F.lit(f"({EMOJI})"), 1)
-    rest = F.split(text, EMOJI)
-    joined = F.zip_with(rest, found, lambda t, e: F.concat(F.coalesce(t, F.lit("")), F.coalesce(e, F.lit(""))))
-    kept = F.array_join(F.slice(joined, 1, most), "")
-    tail = F.array_join(F.slice(rest, most + 1, F.greatest(F.size(rest), F.lit(1))), "")
-    return F.when(F.size(found) <= most, text).otherwise(F.concat(kept, tail))
+
+    def capped(x: Column) -> Column:
+        joined = F.zip_with(x["rest"], x["found"], lambda t, e: F.concat(F.coalesce(t, F.lit("")), F.coalesce(e, F.lit(""))))
+        tail = F.array_join(F.slice(x["rest"], most + 1, F.greatest(F.size(x["rest"]), F.lit(1))), "")
+        return F.when(F.size(x["found"]) <= most, x["text"]).otherwise(F.concat(F.array_join(F.slice(joined, 1, most), ""), tail))
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(f"({EMOJI})"), 1).alias("found"), F.split(t, EMOJI).alias("rest"))
+
+    return let(text, lambda t: let(parts(t), capped))
 
 
 def is_long_enough(text: Column, least: int = 40) -> Column:
     return F.coalesce(F.length(F.trim(text)) >= least, F.lit(False))
 
 
+def count_of(text: Column, kind: str) -> Column:
+    """How many characters of a kind (a Unicode property) a text has; runs go at once."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"\\p{{{kind}}}+", ""))
+
+
+def is_of_script(letters: Column, of_script: Column, least: float = 0.5) -> Column:
+    """Whether enough letters are of a script, from their numbers; without letters none are."""
+    return F.coalesce((letters > 0) & (of_script / F.nullif(letters, F.lit(0)) >= least), F.lit(False))
+
+
 def matches_script(text: Column, script: str | None, least: float = 0.5) -> Column:
     """Whether enough letters are of a script; without a script all texts match, without letters none."""
-    if not script:
-        return F.lit(True)
-    letters = F.regexp_count(text, F.lit("\\p{L}"))
-    return F.coalesce((letters > 0) & (F.regexp_count(text, F.lit(f"\\p{{Is{script}}}")) / F.nullif(letters, F.lit(0)) >= least), F.lit(False))
+    return is_of_script(count_of(text, "L"), count_of(text, f"Is{script}"), least) if script else F.lit(True)
 
 
 def utf16_length(text: Column) -> Column:
@@ -79,14 +105,24 @@ def utf16_length(text: Column) -> Column:
 def truncate_at_word(text: Column, most: Column | int) -> Column:
     """At most so many UTF-16 units: cut at the last space if that is past the half, an ellipsis behind."""
     most = F.lit(most) if isinstance(most, int) else most
-    units = F.substring(F.encode(text, "UTF-16BE"), F.lit(1), 2 * F.greatest(most - 1, F.lit(0)))
-    # a character of two units isn't cut in half
-    half = F.hex(F.substring(units, F.greatest(F.length(units) - 1, F.lit(1)), F.lit(1))).rlike("^D[89AB]$")
-    cut = F.decode(F.substring(units, F.lit(1), F.length(units) - F.when(half, 2).otherwise(0)), "UTF-16BE")
-    space = F.length(cut) - F.length(F.regexp_extract(cut, "([^ ]*)$", 1)) - 1
-    cut = F.when((space >= 0) & (space > most / 2), F.substring(cut, F.lit(1), space)).otherwise(cut)
-    short = F.concat(F.regexp_replace(cut, "[ \\t\\n,;:—-]+$", ""), F.lit("…"))
-    return F.when(most <= 1, "").when(utf16_length(text) <= most, text).otherwise(short)
+
+    def at_space(x: Column) -> Column:
+        space = F.length(x["cut"]) - F.length(F.regexp_extract(x["cut"], "([^ ]*)$", 1)) - 1
+        cut = F.when((space >= 0) & (space > x["most"] / 2), F.substring(x["cut"], F.lit(1), space)).otherwise(x["cut"])
+        return F.concat(F.regexp_replace(cut, "[ \\t\\n,;:—-]+$", ""), F.lit("…"))
+
+    def cut(x: Column) -> Column:
+        # a character of two units isn't cut in half
+        half = F.hex(F.substring(x["units"], F.greatest(F.length(x["units"]) - 1, F.lit(1)), F.lit(1))).rlike("^D[89AB]$")
+        whole = F.decode(F.substring(x["units"], F.lit(1), F.length(x["units"]) - F.when(half, 2).otherwise(0)), "UTF-16BE")
+        return let(F.struct(whole.alias("cut"), x["most"].alias("most")), at_space)
+
+    def short(x: Column) -> Column:
+        units = F.substring(F.encode(x["text"], "UTF-16BE"), F.lit(1), 2 * F.greatest(x["most"] - 1, F.lit(0)))
+        return let(F.struct(units.alias("units"), x["most"].alias("most")), cut)
+
+    whole = F.struct(text.alias("text"), most.alias("most"))
+    return let(whole, lambda x: F.when(x["most"] <= 1, "").when(utf16_length(x["text"]) <= x["most"], x["text"]).otherwise(short(x)))
 
 
 def hashtags(tags: Column, most: int = 4) -> Column:
@@ -121,15 +157,43 @@ def fallback_markup(title: Column, body: Column) -> Column:
     return F.concat(F.lit("<article><h1>"), escape(F.coalesce(title, F.lit(""))), F.lit("</h1>"), F.coalesce(body, F.lit("")), F.lit("</article>"))
 
 
-def caption(header: Column, body: Column, humour: Column, link: Column, tags: Column, limit: int = 1024, margin: int = 24) -> Column:
-    """The longest form that fits: all, without tags, without humour, with a cut body, the link alone.
+MEDIA_LIMIT, TEXT_LIMIT, MARGIN = 1024, 4096, 24
+
+
+def caption(header: Column, sections: Column, humour: Column, link: Column, tags: Column, limit: int = MEDIA_LIMIT, margin: int = MARGIN) -> Column:
+    """The longest form that fits the limit.
 
-    All parts are plain text, so the visible length is the text's own.
+    sections: array<struct<title, body>>. All parts; then without tags, without
+    humour, with bodies cut to equal shares of what is left, without titles; at
+    last the link alone. All parts are plain text, so the visible length is the
+    text's own. A null or blank part is left out; a body that is null is empty.
     """
     budget = limit - margin
-    join = lambda *parts: F.concat_ws("\n\n", *(F.nullif(F.trim(p), F.lit("")) for p in parts))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    block = lambda title, body: F.concat_ws("\n\n", F.nullif(blank(title), F.lit("")), F.nullif(blank(body), F.lit("")))
+
+    def join(x: Column, blocks: Column, *behind: Column) -> Column:
+        parts = F.concat(F.array(x["header"]), blocks, F.array(*behind))
+        return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (F.trim(p) != "")), "\n\n")
+
     fits = lambda text: utf16_length(text) <= budget
-    whole, untagged, plain = join(header, body, humour, link, tags), join(header, body, humour, link), join(header, body, link)
-    room = F.greatest(F.lit(0), F.lit(budget) - utf16_length(join(header, link)) - 2)
-    cut = join(header, truncate_at_word(body, room), link)
-    return F.when(fits(whole), whole).when(fits(untagged), untagged).when(fits(plain), plain).when(fits(cut), cut).otherwise(link)
+    no_title = F.lit(None).cast("string")
+
+    def trimmed(x: Column) -> Column:
+        bare = join(x, F.transform(x["sections"], lambda s: block(s["title"], no_title)), x["link"])
+        share = F.floor(F.greatest(F.lit(0), F.lit(budget) - utf16_length(bare)) / F.greatest(F.lit(1), F.size(x["sections"]))).cast("int")
+        return let(F.struct(share.alias("share"), x.alias("x")), lambda y: F.transform(y["x"]["sections"], lambda s: F.struct(s["title"].alias("title"), truncate_at_word(blank(s["body"]), y["share"]).alias("body"))))
+
+    def shortened(x: Column, cut: Column) -> Column:
+        titled = join(x, F.transform(cut, lambda s: block(s["title"], s["body"])), x["link"])
+        untitled = join(x, F.transform(cut, lambda s: block(no_title, s["body"])), x["link"])
+        return let(titled, lambda t: F.when(fits(t), t).otherwise(let(untitled, lambda u: F.when(fits(u), u).otherwise(x["link"]))))
+
+    def chosen(x: Column) -> Column:
+        blocks = F.transform(x["sections"], lambda s: block(s["title"], s["body"]))
+        forms = F.array(join(x, blocks, x["humour"], x["link"], x["tags"]), join(x, blocks, x["humour"], x["link"]), join(x, blocks, x["link"]))
+        first = let(forms, lambda f: F.try_element_at(F.filter(f, fits), F.lit(1)))
+        return let(first, lambda f: F.when(f.isNotNull(), f).otherwise(let(trimmed(x), lambda cut: shortened(x, cut))))
+
+    given = F.struct(header.alias("header"), sections.alias("sections"), humour.alias("humour"), link.alias("link"), tags.alias("tags"))
+    return let(given, chosen)

@@ -48,19 +48,21 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(url), "\\.([^.]*)$", 1))
 
 
-def without_rendition_marks(name: Column, passes: int = 8) -> Column:
-    """A picture's name without the marks of sizes and formats, which may be chained."""
-    for _ in range(passes):
-        for pattern in settings.RENDITION_MARKERS:
-            name = F.regexp_replace(name, pattern, "")
-    return name
+def without_rendition_marks(name: Column) -> Column:
+    """A picture's name without the marks of sizes and formats at its end, however many are chained.
 
+    All marks stand at the end of what is left, so a run of them goes at once.
+    """
+    marks = "|".join(f"(?:{m.removesuffix('$')})" for m in settings.RENDITION_MARKERS)
+    return F.regexp_replace(name, f"(?:{marks})+$", "")
 
-def rendition_key(url: Column, passes: int = 8) -> Column:
+
+def rendition_key(url: Column) -> Column:
     """``host|name`` that all renditions of a picture share; ``host|path`` where the name says little."""
-    name = without_rendition_marks(F.regexp_replace(stem(url), "^(.[^=]*)=.*$", "$1"), passes)
+    name = without_rendition_marks(F.regexp_replace(stem(url), "^(.[^=]*)=.*$", "$1"))
     path = F.lower(F.regexp_replace(F.coalesce(part(url, "PATH"), url), "^/+|/+$", ""))
-    return F.concat(F.coalesce(host(url), F.lit("")), F.lit("|"), F.when(F.length(name) < settings.MIN_STEM, path).otherwise(F.lower(name)))
+    both = F.get(F.transform(F.array(F.struct(name.alias("name"), path.alias("path"))), lambda x: F.when(F.length(x["name"]) < settings.MIN_STEM, x["path"]).otherwise(F.lower(x["name"]))), F.lit(0))
+    return F.concat(F.coalesce(host(url), F.lit("")), F.lit("|"), both)
 
 
 def identity_keys(phash: Column, content_hash: Column, provider: Column, external_id: Column, url: Column) -> Column:

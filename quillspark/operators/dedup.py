@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,19 +35,20 @@ def by_content(df: DataFrame, content: str, id_column: str) -> DataFrame:
 def nearest_hash(new: DataFrame, known: DataFrame, threshold: int = settings.HAMMING_THRESHOLD) -> DataFrame:
     """For each new row (id, kind, hash) the known row with the nearest perceptual hash; of equals the least id.
 
-    Two hashes that differ in at most ``threshold`` bits have one of threshold + 1
-    pieces in common, so an equi-join on pieces finds all pairs. Only different
-    hashes meet, each with the two least ids that have it; two, as a row doesn't
-    match its own id.
+    Of two hashes that differ in at most ``threshold`` bits, one of three pieces of
+    about 21 bits differs in a third of that at most. So each new hash looks for all
+    pieces so near to its own, in an equi-join on pieces that have two million
+    values each, and all pairs are found. Only different hashes meet, each with the
+    two least ids that have it; two, as a row doesn't match its own id.
     """
     fit = lambda df: df.where(images.is_distinctive(F.col("hash")))
-    banded = lambda df: df.withColumn("band", F.explode(images.bands(F.col("hash"), threshold + 1)))
+    banded = lambda df, near: df.withColumn("band", F.explode(images.pieces(F.col("hash"), 3, near)))
     mine = fit(new).select("id", "kind", "hash")
     theirs = fit(known).select(F.col("id").alias("match_id"), "kind", "hash").where("match_id is not null").distinct()
     two = top_k(theirs, ["kind", "hash"], [F.col("match_id")], 2)
     groups = two.groupBy("kind", "hash").agg(F.collect_list("match_id").alias("ids"))
-    a = banded(mine.select("kind", "hash").distinct())
-    b = banded(groups).withColumnRenamed("hash", "match_hash")
+    a = banded(mine.select("kind", "hash").distinct(), threshold // 3)
+    b = banded(groups, 0).withColumnRenamed("hash", "match_hash")
     near = a.join(b, ["kind", "band"]).withColumn("distance", images.hamming(F.col("hash"), F.col("match_hash"))).where(F.col("distance") <= threshold)
     near = near.select("kind", "hash", "distance", F.explode("ids").alias("match_id")).groupBy("kind", "hash", "match_id").agg(F.min("distance").alias("distance"))
     nearest = top_k(near, ["kind", "hash"], [F.col("distance"), F.col("match_id")], 2).groupBy("kind", "hash").agg(F.array_sort(F.collect_list(F.struct("distance", "match_id"))).alias("nearest"))
@@ -54,12 +57,40 @@ def nearest_hash(new: DataFrame, known: DataFrame, threshold: int = settings.HAM
     return best.select("id", "best.match_id", F.col("best.distance").alias("distance"), images.match_confidence(F.col("best.distance"), threshold).alias("confidence"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _sign_bands(vectors: pd.Series) -> pd.Series:
+def nearest_known_hash(new: DataFrame, assets: DataFrame, now, days: int = settings.LOOKBACK_DAYS, kinds: list[str] = settings.VISUAL_TYPES, threshold: int = settings.HAMMING_THRESHOLD) -> DataFrame:
+    """``nearest_hash`` against the visual assets of the last days that are no copies themselves.
+
+    assets: id, kind, hash, duplicate_of_id, created_at.
+    """
+    recent = F.col("created_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS")
+    originals = assets.where(recent & F.col("duplicate_of_id").isNull() & F.col("kind").isin(kinds))
+    return nearest_hash(new.where(F.col("kind").isin(kinds)), originals, threshold)
+
+
+def sign_bits(n: int) -> int:
+    """Signs in a piece: as many as give a piece about as many values as there are vectors."""
+    return max(8, min(24, n.bit_length()))
+
+
+def sign_bands(bits: int, threshold: float, recall: float = 0.999) -> int:
+    """Pieces with which a pair at the threshold shares one with that probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits))
+
+
+def _sign_bands(bits: int, bands: int, size: int):
     """Signs of random projections, in pieces; vectors at a small angle share a piece with high probability."""
-    planes = np.random.default_rng(92).standard_normal((24, 8, len(vectors.iloc[0]) if len(vectors) else 1))
-    signs = np.einsum("rpd,nd->nrp", planes, np.stack(vectors.to_numpy())) > 0 if len(vectors) else np.zeros((0, 24, 8), bool)
-    return pd.Series([[f"{r}:{x}" for r, x in enumerate(np.packbits(row, axis=1)[:, 0].tolist())] for row in signs])
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def pieces(vectors: pd.Series) -> pd.Series:
+        planes = np.random.default_rng(92).standard_normal((size, bands * bits))
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        out = []
+        for at in range(0, len(vectors), 1024):
+            signs = (np.stack(vectors.iloc[at : at + 1024].to_numpy()).astype(float) @ planes > 0).reshape(-1, bands, bits)
+            out += list(signs @ weight * bands + np.arange(bands))
+        return pd.Series(out)
+
+    return pieces
 
 
 def cosine(a, b):
@@ -67,17 +98,36 @@ def cosine(a, b):
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def embedding_pairs(vectors: DataFrame, threshold: float = settings.EMBEDDING_THRESHOLD) -> DataFrame:
-    """Pairs (id, match_id) of similar vectors (id, label, vector), found by equal signs of projections.
+def nearest_vector(vectors: DataFrame, threshold: float = settings.EMBEDDING_THRESHOLD) -> DataFrame:
+    """For each vector (id, vector) the most similar other one (of equals the least id), where it is similar enough.
 
-    24 bands of 8 signs: at the threshold (23 degrees) a pair shares a band with
-    probability 0.999.
+    Candidates share a piece of signs of projections. A piece has about as many
+    values as there are vectors, and there are as many pieces as find a pair at the
+    threshold with probability 0.999, so that candidates grow with the vectors and
+    not with their pairs. Equal vectors are one, with the two least ids that have
+    it. Vectors that are null, empty, hold a null or have another length than most
+    are left out, as are null ids.
     """
-    banded = vectors.select("id", "vector", F.explode(_sign_bands("vector")).alias("band"))
-    ids = banded.select("id", "band").join(banded.select(F.col("id").alias("match_id"), "band"), "band").where("id < match_id").select("id", "match_id").distinct()
-    plain = vectors.select("id", "vector")
-    pairs = ids.join(plain, "id").join(plain.select(F.col("id").alias("match_id"), F.col("vector").alias("match_vector")), "match_id")
-    return pairs.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("match_vector")), 6)).where(F.col("similarity") >= threshold).select("id", "match_id", "similarity")
+    known = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("id is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x))")
+    n, size = known.agg(F.count("*"), F.mode(F.size("vector"), True)).first()
+    if not n:
+        return known.select("id", F.col("id").alias("match_id"), F.lit(0.0).alias("similarity"))
+    fit = known.where(F.size("vector") == size).withColumn("key", F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256))
+    two = top_k(fit.select("key", "id").distinct(), ["key"], [F.col("id")], 2).groupBy("key").agg(F.collect_list("id").alias("ids"))
+    one = fit.groupBy("key").agg(F.min_by("vector", "id").alias("vector")).join(two, "key")
+    bits = sign_bits(n)
+    banded = one.select("key", F.explode(_sign_bands(bits, sign_bands(bits, threshold), size)("vector")).alias("piece"))
+    pairs = banded.join(banded.withColumnRenamed("key", "other"), "piece").where("key < other").select("key", "other").distinct()
+    plain = one.select("key", "vector")
+    pairs = pairs.join(plain, "key").join(plain.select(F.col("key").alias("other"), F.col("vector").alias("other_vector")), "other")
+    pairs = pairs.select("key", "other", F.explode(F.array(F.round(cosine(F.col("vector"), F.col("other_vector")), 6))).alias("similarity")).where(F.col("similarity") >= threshold)
+    both = pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "similarity"))
+    # the two least of the most similar others, and its own other id where a vector is repeated
+    near = both.join(two.withColumnRenamed("key", "other"), "other").select("key", F.explode("ids").alias("match_id"), "similarity")
+    near = near.unionByName(two.select("key", F.explode("ids").alias("match_id"), F.lit(1.0).alias("similarity")))
+    best = top_k(near, ["key"], [F.desc("similarity"), F.col("match_id")], 2).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "match_id"))).alias("best"))
+    found = fit.select("id", "key").distinct().join(best, "key").withColumn("m", F.try_element_at(F.filter("best", lambda x: x["match_id"] != F.col("id")), F.lit(1))).where("m is not null")
+    return found.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.match_id", (-F.col("m.far")).alias("similarity"))
 
 
 def distinct_first(df: DataFrame, key: str, order: list) -> DataFrame:

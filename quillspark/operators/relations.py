@@ -44,8 +44,14 @@ def not_sent(items: DataFrame, ledger: DataFrame, item_key: str, ledger_key: str
     return items.join(ledger.select(F.col(ledger_key).alias("_sent")).distinct(), F.col(item_key) == F.col("_sent"), "left_anti")
 
 
+#: More channels than this aren't few any more.
+MAX_CHANNELS = 10_000
+
+
 def backfill(items: DataFrame, channels: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Ledger rows that are missing for items x channels. Channels are few and must stay below the broadcast limit."""
+    """Ledger rows that are missing for items x channels, of which there may be ``MAX_CHANNELS``."""
+    if channels.limit(MAX_CHANNELS + 1).count() > MAX_CHANNELS:
+        raise ValueError(f"more than {MAX_CHANNELS} channels")
     return items.crossJoin(F.broadcast(channels)).join(ledger.select(*keys), keys, "left_anti")
 
 

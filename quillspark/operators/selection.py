@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,30 +35,56 @@ def same_picture(a: str, b: str, threshold: int = settings.HAMMING_THRESHOLD) ->
     return long[len(short)] not in _SEPARATORS and short[-1] not in _SEPARATORS
 
 
+def _groups_of(keys_of: list[list[str]]) -> list[int]:
+    """For each asset, in order, the number of the first group that any of its keys matches."""
+    groups: list[list[str]] = []
+    known: dict[str, int] = {}
+    numbers = []
+    for own in keys_of:
+        equal = min((known[x] for x in own if x in known), default=len(groups))
+        # an earlier group may match by nearness; from the equal one on nothing earlier can
+        hit = next((k for k in range(equal) if any(same_picture(a, b) for a in groups[k] for b in own)), equal)
+        if hit == len(groups):
+            groups.append([])
+        groups[hit] += [x for x in own if x not in groups[hit]]
+        for x in own:
+            known[x] = min(hit, known.get(x, hit))
+        numbers.append(hit)
+    return numbers
+
+
 def group_renditions(ranked: DataFrame, article: str = "news_id", keys: str = "keys", rank: str = "rank") -> DataFrame:
     """Adds ``picture`` to an article's ranked assets: the number of the first group that any key matches.
 
-    The fold depends on the order and never joins two groups, so it runs over an
-    article's assets (a few dozen) in one task.
+    The fold depends on the order and never joins two groups, so the assets of an
+    article (a few dozen) are folded together, whole batches of articles at a time.
     """
     schema = ranked.withColumn("picture", F.lit(0)).schema
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(rank, kind="stable")
-        groups: list[list[str]] = []
-        numbers = []
-        for own in rows[keys]:
-            own = list(own)
-            hit = next((k for k, known in enumerate(groups) if any(same_picture(a, b) for a in known for b in own)), None)
-            if hit is None:
-                groups.append(own)
-                hit = len(groups) - 1
-            else:
-                groups[hit] += [x for x in own if x not in groups[hit]]
-            numbers.append(hit)
-        return rows.assign(picture=numbers)
-
-    return ranked.groupBy(article).applyInPandas(fold, schema)
+    at = [ranked.columns.index(c) for c in (article, keys)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def numbered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            articles, own = rows.column(at[0]).to_pylist(), rows.column(at[1]).to_pylist()
+            numbers: list[int] = []
+            for _, group in itertools.groupby(range(len(articles)), key=articles.__getitem__):
+                numbers += _groups_of([list(own[k] or ()) for k in group])
+            yield from rows.append_column("picture", pa.array(numbers, pa.int32())).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            articles = rows.column(at[0]).to_pylist()
+            cut = next((k + 1 for k in range(len(articles) - 2, -1, -1) if articles[k] != articles[-1]), 0)
+            held = rows.slice(cut)
+            if cut:
+                yield from numbered(rows.slice(0, cut))
+        if held is not None:
+            yield from numbered(held)
+
+    return ranked.repartition(article).sortWithinPartitions(article, rank).mapInArrow(fold, schema)
 
 
 def rank_assets(assets: DataFrame, score: str = "score", article: str = "news_id", rank: str = "rank") -> DataFrame:

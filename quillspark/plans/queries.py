@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark import settings
 from quillspark.functions import images, records, scores, texts, times, urls
 from quillspark.io import table
-from quillspark.operators import dedup, relations, selection
+from quillspark.operators import dedup, ingestion, publishing, relations, selection
 from quillspark.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,8 +45,9 @@ _PRIORITY_SQL = "least(1.0, round(" + " + ".join(f"case when regexp_matches(lowe
 )
 def best_ready_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = docs.select(F.col("doc_id").alias("id"), scores.priority(F.col("text"), SIGNALS).alias("priority"), F.col("n_chars").alias("ready_at"))
-    waiting = relations.not_sent(scored, labels.where("toxic = 1"), "id", "doc_id")
+    waiting = relations.not_sent(docs.select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("ready_at")), labels.where("toxic = 1"), "id", "doc_id")
+    # behind a generator the score is a column of its own, which the filter on it doesn't compute again
+    waiting = waiting.select("id", F.explode(F.array(scores.priority(F.col("text"), SIGNALS))).alias("priority"), "ready_at")
     quality = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("quality"))
     return relations.best_candidate(waiting.join(quality, "id", "left"), 0.2).select("id", "priority", "quality", "ready_at")
 
@@ -62,7 +63,7 @@ _PATH = "regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _QUERY = "regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1)"
 _NORMAL = (
     f"{_HOST} || case when regexp_replace({_PATH}, '/+$', '') = '' then '/' else regexp_replace({_PATH}, '/+$', '') end || "
-    f"coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_|fbclid|gclid|ref|ito|icid|cmpid)'))), '&'), ''), '')"
+    f"coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^({'|'.join(settings.TRACKING_PREFIXES)})'))), '&'), ''), '')"
 )
 
 
@@ -108,22 +109,39 @@ def redact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.without_secrets(F.col("url")).alias("logged"))
 
 
-@query(None)
+#: A page of a made layout around what a row says, so that SQL can tell what an extractor must find in it.
+_MADE = "'<html><head><meta property=\"og:image\" content=\"/og' || page_id || '.jpg\"><title>Story ' || page_id || '</title></head><body><nav><a href=\"/menu\">m</a></nav><article><h1>Story ' || page_id || '</h1><p>' || {p} || '</p><p>' || {p} || '</p><p>short</p><time datetime=\"2024-01-' || lpad((1 + page_id % 28)::varchar, 2, '0') || 'T08:00:00Z\">x</time>' || case when page_id % 3 = 0 then '<img src=\"/a' || page_id || '.jpg\" width=\"800\" height=\"500\">' else '' end || case when page_id % 5 = 0 then '<iframe src=\"https://www.youtube.com/embed/v' || page_id || '\"></iframe>' else '' end || '</article><a href=\"/news/story-' || (page_id + 1) || '#top\">next</a></body></html>'"
+_PARAGRAPH = "A paragraph of the made story, which is long enough to be one and says so in a good many words, as prose does that wants to be read as such."
+
+
+def _made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages by column functions; Spark reads that expression as SQL."""
+    made = _MADE.replace("{p}", f"'{_PARAGRAPH}'").replace("::varchar", "")
+    made = made.replace("lpad((1 + page_id % 28), 2, '0')", "lpad(cast(1 + page_id % 28 as string), 2, '0')")
+    return table(spark, sf_dir, "pages").select("page_id", F.lit("https://example.com/news/").alias("url"), F.expr(made).alias("html"))
+
+
+@query(f"select page_id, 'Story ' || page_id as title, '{_PARAGRAPH}' || E'\\n\\n' || '{_PARAGRAPH}' as content, make_timestamp(2024, 1, 1 + page_id % 28, 8, 0, 0.0) as published_at from pages")
 def html_article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", markup.article_udf("html").alias("a"))
-    date = F.transform("a.published", lambda t: times.parse_date(t, F.lit(NOW).cast("timestamp")))
-    return found.select("page_id", "a.title", "a.content", F.try_element_at(F.array_compact(date), F.lit(1)).alias("published_at"))
+    found = _made_pages(spark, sf_dir).select("page_id", markup.article_udf("html").alias("a"))
+    date = F.transform("a.published", lambda t: times.parse_date(t, F.lit("2024-03-01").cast("timestamp")))
+    return found.select("page_id", "a.title", "a.content", F.try_element_at(F.array_compact(date), F.lit(1)).cast("timestamp_ntz").alias("published_at"))
 
 
-@query(None)
+@query("select page_id, 0 as position, 'https://example.com/menu' as link from pages union all select page_id, 1, 'https://example.com/news/story-' || (page_id + 1) from pages")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.links_udf("html", "url")).alias("position", "link"))
+    found = _made_pages(spark, sf_dir).select("page_id", F.posexplode(markup.links_udf("html", "url")).alias("position", "link"))
+    return found.withColumn("link", F.regexp_replace("link", "#.*$", ""))
 
 
-@query(None)
+@query(
+    """select page_id, 'https://example.com/og' || page_id || '.jpg' as url, 'image' as type, 'og_meta' as extracted_by, null::int as width from pages
+    union all select page_id, 'https://example.com/a' || page_id || '.jpg', 'image', 'html_img', 800 from pages where page_id % 3 = 0
+    union all select page_id, 'https://www.youtube.com/embed/v' || page_id, 'embed', 'html_iframe', null from pages where page_id % 5 = 0"""
+)
 def html_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.media_udf("html", "url")).alias("m"))
-    return pages.select("page_id", "m.*")
+    pages = _made_pages(spark, sf_dir).select("page_id", F.explode(markup.media_udf("html", "url")).alias("m"))
+    return pages.select("page_id", "m.url", "m.type", "m.extracted_by", "m.width")
 
 
 @query("select doc_id, regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:the\\s+of|token|license)(?:$|[^\\p{L}\\p{N}_])') as on_topic from documents")
@@ -136,8 +154,9 @@ _TOKENS = f"list_filter(regexp_split_to_array(lower({{u}}), '[^\\p{{L}}\\p{{N}}]
 
 
 @query(
-    f"""select doc_id, item_id, case when len(a) = 0 or len(t) = 0 then 0.2 else least(1.0, len(list_filter(a, lambda w: list_contains(t, w))) / greatest(3, len(a))::double) end as overlap
-    from (select d.doc_id, b.item_id, {_sql(_TOKENS, 'b.text')} as a, {_sql(_TOKENS, 'd.text')} as t from documents d join benchmark b on d.doc_id % 40 = b.item_id)"""
+    f"""with i as (select item_id, text, row_number() over (order by item_id) - 1 as number from benchmark), n as (select count(*) as of from i),
+    p as (select d.doc_id, i.item_id, {_sql(_TOKENS, 'i.text')} as a, list_distinct({_sql(_TOKENS, 'd.text')}) as t from documents d cross join n join i on i.number = d.doc_id % n.of)
+    select doc_id, item_id, case when len(a) = 0 or len(t) = 0 then 0.2 else least(1.0, len(list_filter(a, lambda w: list_contains(t, w))) / greatest(3, len(a))::double) end as overlap from p"""
 )
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
@@ -151,7 +170,8 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, case when l = 0 then false else n / l >= 0.5 end as is_latin, l as n_letters from (select doc_id, len(regexp_extract_all(text, '\\p{L}'))::int as l, len(regexp_extract_all(text, '\\p{Latin}')) as n from documents)")
 def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", texts.matches_script(F.col("text"), "Latin").alias("is_latin"), F.regexp_count("text", F.lit("\\p{L}")).alias("n_letters"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(texts.count_of(F.col("text"), "L").alias("l"), texts.count_of(F.col("text"), "IsLatin").alias("n")))).alias("x"))
+    return counted.select("doc_id", texts.is_of_script(F.col("x.l"), F.col("x.n")).alias("is_latin"), F.col("x.l").alias("n_letters"))
 
 
 @query("select conv_id, turn, trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', E'\\n\\n', 'g')) as caption from conversations")
@@ -160,8 +180,10 @@ def caption_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select doc_id, nullif(array_to_string(list_transform(t[1:4], lambda x: '#' || x), ' '), '') as hashtags from (select doc_id, list_filter(list_transform(w, lambda x, i: case when list_position(w, x) = i then x end), lambda x: x is not null) as t from
-    (select doc_id, list_filter(list_transform(string_split(text, ' ')[1:8], lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}_]', '', 'g'))), lambda x: length(x) >= 2) as w from documents))"""
+    """with w as (select doc_id, unnest(string_split(text, ' ')) as x, generate_subscripts(string_split(text, ' '), 1) as i from documents),
+    t as (select doc_id, lower(regexp_replace(x, '[^\\p{L}\\p{N}_]', '', 'g')) as x, min(i) as i from w group by 1, 2 having length(lower(regexp_replace(any_value(x), '[^\\p{L}\\p{N}_]', '', 'g'))) >= 2),
+    k as (select *, row_number() over (partition by doc_id order by i) as n from t), j as (select doc_id, string_agg('#' || x, ' ' order by i) as hashtags from k where n <= 4 group by 1)
+    select doc_id, hashtags from documents left join j using (doc_id)"""
 )
 def hashtag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.hashtags(F.split("text", " ")).alias("hashtags"))
@@ -172,11 +194,25 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query(None)
+# What the operator does to the text first, then the four longer forms and cut bodies; every text of the table is in the basic plane.
+_CAPTION_SQL = """with t as (select conv_id, turn, 'https://example.com/' || conv_id as link, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g')) as body from conversations where role = 'assistant'),
+    j as (select *, 'News' as h, case when body = '' then '' else E'\n\n' || body end as b, E'\n\nHa!' as ha, E'\n\n' || link as l, E'\n\n#a #b' as tags, case when conv_id % 2 = 0 then E'\n\nTitle ' || conv_id else '' end as ti from t),
+    r as (select *, greatest(0, 1000 - length(h || ti || l)) as room from j),
+    c as (select *, body[1:greatest(room - 1, 0)] as cut from r),
+    k as (select *, length(cut) - length(regexp_extract(cut, '[^ ]*$')) - 1 as space from c),
+    s as (select *, case when room <= 1 then '' when length(body) <= room then body else regexp_replace(case when space >= 0 and space > room / 2.0 then cut[1:space] else cut end, '[ \t\n,;:—-]+$', '') || '…' end as short from k)
+    select conv_id, turn, case when length(h || ti || b || ha || l || tags) <= 1000 then h || ti || b || ha || l || tags when length(h || ti || b || ha || l) <= 1000 then h || ti || b || ha || l when length(h || ti || b || l) <= 1000 then h || ti || b || l
+    when length(h || ti || case when trim(short) = '' then '' else E'\n\n' || trim(short) end || l) <= 1000 then h || ti || case when trim(short) = '' then '' else E'\n\n' || trim(short) end || l
+    when length(h || case when trim(short) = '' then '' else E'\n\n' || trim(short) end || l) <= 1000 then h || case when trim(short) = '' then '' else E'\n\n' || trim(short) end || l else link end as caption from s"""
+
+
+@query(_CAPTION_SQL)
 def caption_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     link = F.concat(F.lit("https://example.com/"), F.col("conv_id"))
-    return turns.select("conv_id", "turn", texts.caption(F.lit("News"), texts.sanitise(F.col("text")), F.lit("Ha!"), link, F.lit("#a #b")).alias("caption"))
+    title = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Title "), F.col("conv_id").cast("string")))
+    sections = F.array(F.struct(title.alias("title"), texts.sanitise(F.col("text")).alias("body")))
+    return turns.select("conv_id", "turn", texts.caption(F.lit("News"), sections, F.lit("Ha!"), link, F.lit("#a #b")).alias("caption"))
 
 
 _ZONE = "INTERVAL 5 HOUR"
@@ -243,7 +279,7 @@ _DISTANCE = "bit_count(xor(('0x' || substr(a.h, 1, 8))::bigint, ('0x' || substr(
 
 
 @query(
-    f"""with h as (select vec_id, label, substr(sha256(label::varchar), 1, 14) || substr(sha256(vec_id::varchar), 1, 2) as h from embeddings where vec_id < 400),
+    f"""with h as (select vec_id, label, substr(sha256(label::varchar), 1, 14) || substr(sha256(vec_id::varchar), 1, 2) as h from embeddings),
     p as (select a.vec_id as id, b.vec_id as match_id, {_DISTANCE} as distance from h a join h b on a.vec_id <> b.vec_id and a.label = b.label)
     select id, arg_min(match_id, (distance, match_id)) as match_id, min(distance)::int as distance, round(1.0 - min(distance) / 16.0, 2) as confidence from p where distance <= 8 group by id"""
 )
@@ -253,10 +289,18 @@ def hamming_dedup_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.nearest_hash(hashed, hashed)
 
 
-@query(None)
+@query(
+    """with v as (select vec_id as id, embedding::double[] as v from embeddings union all select vec_id + 1000000, list_transform(embedding::double[], lambda x, i: case when i = 1 + vec_id % 64 then x + 0.2 else x end) from embeddings
+    union all select vec_id + 2000000, embedding::double[] from embeddings where vec_id % 10 = 0),
+    p as (select a.id, b.id as match_id, round(list_cosine_similarity(a.v, b.v), 6) as similarity from v a join v b on a.id <> b.id)
+    select id, arg_min(match_id, (-similarity, match_id)) as match_id, max(similarity) as similarity from p where similarity >= 0.92 group by id"""
+)
 def embedding_dedup_l4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return dedup.embedding_pairs(vectors)
+    """The table's vectors, a changed copy of each, and an equal copy of some."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    changed = F.transform("vector", lambda x, i: F.when(i == F.col("id") % 64, x + 0.2).otherwise(x))
+    copies = vectors.select((F.col("id") + 1000000).alias("id"), changed.alias("vector")).unionByName(vectors.where("id % 10 = 0").select((F.col("id") + 2000000).alias("id"), "vector"))
+    return dedup.nearest_vector(vectors.unionByName(copies))
 
 
 _SCORES = (
@@ -389,7 +433,13 @@ def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.post_plans(ranked).select("news_id", "plan", F.array_join(F.transform("asset_ids", lambda x: x.cast("string")), ",").alias("assets"), "link")
 
 
-@query(None)
+# All assets with one key are one picture here, so that pictures are numbered by their first rank.
+@query(
+    """with one as (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_quantity) as k from lineitem),
+    r as (select l_orderkey as news_id, l_partkey as asset_id, row_number() over (partition by l_orderkey order by round(l_quantity / 50, 4) desc, l_linenumber, l_partkey)::int as rank from one where k = 1),
+    g as (select news_id, asset_id % 4 as part, row_number() over (partition by news_id order by min(rank)) - 1 as picture from r group by 1, 2)
+    select r.news_id, r.asset_id, r.rank, g.picture::int as picture from r join g on g.news_id = r.news_id and g.part = r.asset_id % 4"""
+)
 def rendition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = selection.rank_assets(_assets(spark, sf_dir))
     key = F.concat(F.lit("url:example.com|picture-of-part-"), (F.col("asset_id") % 4).cast("string"))
@@ -419,7 +469,7 @@ def send_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"), scores.is_retryable(status).alias("retryable"))
 
 
-@query("select page_id, 'media/2024/01/original/' || sha256(html) || '.html' as storage_key, case when page_id % 3 = 0 then html[1:20] else replace(replace(replace(html[1:20], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') end as head from pages")
+@query("select page_id, 'media/2024/01/original/' || sha256(html) || '.html' as storage_key, case when page_id % 3 = 0 then html else replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') end as head from pages")
 def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = times.storage_key("original", F.lit(NOW).cast("timestamp"), F.sha2("html", 256), F.lit("html"))
     html = F.col("html")
@@ -444,8 +494,8 @@ def time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select news_id, asset_id, origin from (select *, row_number() over (partition by news_id, asset_id order by origin, position) as n from (
-    select l_orderkey as news_id, l_partkey as asset_id, 0 as origin, l_linenumber as position from lineitem where l_orderkey % 10 = 0 union all
-    select l_orderkey, l_suppkey, 1, l_linenumber from lineitem where l_orderkey % 10 = 0)) where n = 1"""
+    select l_orderkey as news_id, l_partkey as asset_id, 0 as origin, l_linenumber as position from lineitem union all
+    select l_orderkey, l_suppkey, 1, l_linenumber from lineitem)) where n = 1"""
 )
 def media_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
@@ -458,3 +508,201 @@ def media_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.coalesce(records.at_path(F.col("props"), "k").try_cast("int"), F.lit(settings.CHANNEL_RULES["max_images"]))
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), records.with_rule(F.col("props"), "k", 69, 30).alias("props"))
+
+
+_FRESH = f"(TIMESTAMP '{NOW}' - INTERVAL 72 HOUR)", f"(TIMESTAMP '{NOW}' + INTERVAL 1 HOUR)"
+_ARTICLES_SQL = f"""a as (select o_orderkey as news_id, 'example.com/' || (o_orderkey % 700) as canonical_url, TIMESTAMP '{NOW}' - o_orderkey % 97 * INTERVAL 1 HOUR as published_at,
+    case when o_orderkey % 11 = 0 then 1 end as started_at, case when o_orderkey % 13 = 0 then 1 end as sent_at, case when o_orderkey % 7 <> 0 then 1 end as analysed_at, case when o_orderkey % 5 = 0 then 1 end as queued_at from orders),
+    ledger as (select distinct c_custkey % 6 as channel_id, 'example.com/' || (c_custkey % 350) as canonical_url from customer)"""
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as articles, customers as the ledger of what channels have sent."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - k % 97 * 3600)
+    when = lambda condition: F.when(condition, 1)
+    articles = table(spark, sf_dir, "orders").select(
+        k.alias("news_id"), F.concat(F.lit("example.com/"), (k % 700).cast("string")).alias("canonical_url"), at.alias("published_at"), when(k % 11 == 0).alias("started_at"),
+        when(k % 13 == 0).alias("sent_at"), when(k % 7 != 0).alias("analysed_at"), when(k % 5 == 0).alias("queued_at"),
+    )
+    ledger = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 6).alias("channel_id"), F.concat(F.lit("example.com/"), (F.col("c_custkey") % 350).cast("string")).alias("canonical_url"))
+    return articles, ledger
+
+
+@query(
+    f"""with {_ARTICLES_SQL}, s as (select o_custkey % 8 as channel_id, o_orderkey + case when o_orderkey % 17 = 0 then 1000000000 else 0 end as news_id from orders)
+    select s.channel_id, s.news_id, case when s.channel_id > 5 or s.channel_id = 2 then 'channel_inactive' when l.channel_id is not null then 'already_sent_to_channel' when a.news_id is null then 'news_item_missing'
+    when not (a.published_at >= {_FRESH[0]} and a.published_at < {_FRESH[1]}) then 'not_fresh_at_send_time' when started_at is not null or sent_at is not null then 'already_claimed_or_published' end as skip_reason
+    from s left join a using (news_id) left join ledger l on l.channel_id = s.channel_id and l.canonical_url = a.canonical_url"""
+)
+def publish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, ledger = _articles(spark, sf_dir)
+    k = F.col("o_orderkey")
+    sends = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("channel_id"), F.when(k % 17 == 0, k + 1000000000).otherwise(k).alias("news_id"))
+    channels = spark.range(6).select(F.col("id").alias("channel_id"), (F.col("id") != 2).alias("is_active"))
+    return publishing.guard(sends, channels, articles, ledger, *times.window_bounds(F.lit(NOW).cast("timestamp"), "UTC", 72))
+
+
+@query(
+    f"""with {_ARTICLES_SQL} select news_id, canonical_url from a where analysed_at is not null and queued_at is null and sent_at is null and published_at >= {_FRESH[0]} and published_at < {_FRESH[1]}
+    and not exists (select 1 from ledger l where l.channel_id = 3 and l.canonical_url = a.canonical_url)"""
+)
+def scheduler_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, ledger = _articles(spark, sf_dir)
+    return publishing.eligible(articles, ledger, F.lit(3), *times.window_bounds(F.lit(NOW).cast("timestamp"), "UTC", 72)).select("news_id", "canonical_url")
+
+
+@query(
+    """select event_id, id, row_number() over (partition by id order by ts, event_id) = 1 and exists (select 1 from part where p_partkey = id and p_partkey % 3 <> 0) as won from (select event_id, ts, user_id * 2 as id from events)"""
+)
+def claim_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, 1).alias("queued_at"))
+    bids = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") * 2).alias("id"))
+    return publishing.claim(rows, bids, "id", "queued_at", [F.col("ts"), F.col("event_id")]).select("event_id", "id", "won")
+
+
+@query(
+    """with o as (select s_suppkey, case when s_suppkey % 9 = 0 then 'soon' when s_suppkey % 4 = 0 then null else (s_suppkey % 41 - 2)::varchar end as a, case when s_suppkey % 5 = 0 then null else (s_suppkey % 37)::varchar end as b, case when s_suppkey % 3 = 0 then (s_suppkey % 13 / 10.0)::varchar end as p from supplier),
+    n as (select *, try_cast(a as int) as x, try_cast(b as int) as y, try_cast(p as double) as z from o),
+    e as (select *, case when a is not null and coalesce(x < 1, true) then 'min-interval must be a whole number of minutes, at least 1' when b is not null and coalesce(y < 1, true) then 'max-interval must be a whole number of minutes, at least 1'
+    when p is not null and not coalesce(z between 0 and 1, false) then 'min-priority must be between 0 and 1' when coalesce(x, 15) > coalesce(y, 30) then 'min-interval cannot exceed max-interval' end as error from n)
+    select s_suppkey, case when error is null then coalesce(x, 15) else 15 end as min_minutes, case when error is null then coalesce(y, 30) else 30 end as max_minutes, case when error is null then coalesce(z, 0.2) else 0.2 end::double as min_priority, error from e"""
+)
+def cadence_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    low = F.when(k % 9 == 0, "soon").when(k % 4 != 0, (k % 41 - 2).cast("string"))
+    high = F.when(k % 5 != 0, (k % 37).cast("string"))
+    share = F.when(k % 3 == 0, (k % 13 / 10.0).cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", publishing.cadence(F.lit("{}"), low, high, share).alias("c")).select("s_suppkey", "c.*")
+
+
+@query("select p_partkey as asset_id, case when p_partkey % 3 = 0 then 'https://cdn.example.com/v/' || p_partkey when p_partkey % 2 = 0 then 'https://cdn.example.com/o/' || p_partkey else 'https://example.com/' || p_partkey end as send_url from part")
+def send_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    assets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("o/"), k)).alias("storage_path"), F.concat(F.lit("https://example.com/"), k).alias("original_url"))
+    made = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    variants = made.select(F.col("p_partkey").alias("asset_id"), F.lit("telegram").alias("variant_type"), F.concat(F.lit("v/"), k).alias("storage_path"))
+    variants = variants.unionByName(made.select(F.col("p_partkey").alias("asset_id"), F.lit("thumbnail").alias("variant_type"), F.concat(F.lit("t/"), k).alias("storage_path")))
+    return publishing.send_urls(assets, variants, "https://cdn.example.com").select("asset_id", "send_url")
+
+
+@query(
+    """with a as (select p_partkey as asset_id, p_size * 100 as w, p_size * 60 as h from part where p_partkey % 2 = 0), k(variant_type, most) as (values ('telegram', 1280), ('thumbnail', 320), ('original', null))
+    select asset_id, variant_type, (case when most is null then w when variant_type = 'thumbnail' then 320 else round(w * least(1.0, most / w::double)) end)::int as width, (case when most is null then h when variant_type = 'thumbnail' then 320 else round(h * least(1.0, most / w::double)) end)::int as height
+    from a cross join k where not (variant_type = 'telegram' and asset_id % 3 = 0)"""
+)
+def variants_to_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    assets = part.select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_partkey") % 2 == 0, "stored").alias("storage_path"), (F.col("p_size") * 100).alias("width"), (F.col("p_size") * 60).alias("height"))
+    made = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("asset_id"), F.lit("telegram").alias("variant_type"))
+    return ingestion.missing_variants(assets, made, ["telegram", "thumbnail", "original"])
+
+
+@query(
+    f"""with s as (select distinct 'u' || (doc_id % 900) as canonical_url from documents where doc_id % 50 = 0),
+    c as (select doc_id, 'u' || (doc_id % 900) as u, left(text, 200) as t, doc_id % 4 = 0 as skip, case when doc_id % 3 = 0 then TIMESTAMP '{NOW}' - doc_id % 80 * INTERVAL 1 HOUR end as fd, doc_id % 6 = 0 as gone, doc_id % 12 = 0 as use_feed, doc_id % 24 = 0 as empty_summary,
+        case when doc_id % 5 <> 0 then TIMESTAMP '{NOW}' - doc_id % 90 * INTERVAL 1 HOUR end as pd, doc_id % 19 = 0 as untitled, doc_id % 8 <> 1 as publish from documents),
+    r as (select *, case when exists (select 1 from s where s.canonical_url = u) then 'duplicate_canonical_url' when not skip and trim(t) <> '' and not regexp_matches(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:the|der|de)(?:$|[^\\p{{L}}\\p{{N}}_])') then 'prefilter_not_relevant'
+        when fd is not null and not (fd >= {_FRESH[0]} and fd < {_FRESH[1]}) then 'feed_date_not_fresh' when gone and (not use_feed or empty_summary) then 'article_unavailable'
+        when not coalesce(coalesce(pd, fd) >= {_FRESH[0]} and coalesce(pd, fd) < {_FRESH[1]}, false) then 'parsed_date_not_fresh' when untitled then 'analysis_missing_title' when not publish then 'analysis_not_publishable' end as reason from c)
+    select doc_id as candidate_id, case when reason is null and row_number() over (partition by u, reason is null order by doc_id) > 1 then 'duplicate_race' else reason end as skip_reason from r"""
+)
+def ingest_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, k, now = table(spark, sf_dir, "documents"), F.col("doc_id"), F.lit(NOW).cast("timestamp")
+    url = F.concat(F.lit("u"), (k % 900).cast("string"))
+    ago = lambda hours: F.timestamp_seconds(F.unix_timestamp(now) - hours * 3600)
+    candidates = docs.select(
+        k.alias("candidate_id"), url.alias("canonical_url"), F.left("text", F.lit(200)).alias("prefilter_text"), (k % 4 == 0).alias("skip_prefilter"), F.when(k % 3 == 0, ago(k % 80)).alias("feed_date"),
+        F.when(k % 6 != 0, "<p>").alias("html"), F.when(k % 24 == 0, " ").otherwise("s").alias("summary"), (k % 12 == 0).alias("use_feed_content"), F.when(k % 5 != 0, ago(k % 90)).alias("parsed_date"),
+        F.when(k % 19 != 0, "T").alias("title"), (k % 8 != 1).alias("publish"),
+    )
+    stored = docs.where("doc_id % 50 = 0").select(url.alias("canonical_url"))
+    found = ingestion.ingest(candidates, stored, *times.window_bounds(now, "UTC", 72), keywords=["the", "der", "de"])
+    return found.select("candidate_id", "skip_reason")
+
+
+@query(
+    """with m as (select l_orderkey as news_id, case when l_partkey % 10 = 0 then 'rejected_avatar' when l_partkey % 10 = 1 then 'rejected_chrome' when l_partkey % 10 < 4 then 'existing' when l_quantity < 5 then 'ignored' when l_partkey % 10 = 4 then 'created_video' when l_partkey % 2 = 0 then 'created_download' else 'created_ready' end as o from lineitem)
+    select news_id, count(*) as candidates, count(*) filter (where o = 'existing') as existing, count(*) filter (where o like 'created%') as created, count(*) filter (where o like 'rejected%' or o = 'ignored') as ignored, count(*) filter (where o = 'created_ready') as ready_references,
+    count(*) filter (where o in ('created_download', 'created_video')) as follow_ups, concat_ws(',', case when count(*) filter (where o = 'rejected_avatar') > 0 then 'avatar:' || count(*) filter (where o = 'rejected_avatar') end, case when count(*) filter (where o = 'rejected_chrome') > 0 then 'chrome:' || count(*) filter (where o = 'rejected_chrome') end) as rejected_roles
+    from m group by 1"""
+)
+def extraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey") % 10
+    role = F.when(k == 0, "avatar").when(k == 1, "chrome").otherwise("content")
+    action = F.when(F.col("l_quantity") < 5, "ignore").when(k == 4, "reference").when(k % 2 == 0, "download").otherwise("reference")
+    kind = F.when(k == 4, "video").otherwise("image")
+    outcome = ingestion.media_outcome(role, k < 2, (k == 2) | (k == 3), action, kind)
+    counts = ingestion.outcome_counts(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("news_id"), outcome.alias("outcome")))
+    return counts.withColumn("rejected_roles", F.array_join("rejected_roles", ","))
+
+
+@query("select source as feed, count(*) as candidates, count(*) filter (where doc_id % 7 = 0) as without_date from documents group by 1")
+def feed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingestion.feed_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("feed"), F.when(F.col("doc_id") % 7 != 0, "2024-01-01").alias("published")))
+
+
+@query("select l_orderkey as news_id, count(*) as assets, count(*) filter (where l_partkey % 3 <> 0) as usable from lineitem group by 1")
+def asset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("l_partkey") % 3 == 0, "failed").when(F.col("l_partkey") % 3 == 1, "ready").otherwise("published")
+    return ingestion.asset_counts(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("news_id"), status.alias("status")))
+
+
+@query("select p_partkey as asset_id, greatest(case when p_partkey % 4 = 0 then null else p_size / 50.0 end, m)::double as score from part left join (select l_partkey, max(round(l_quantity / 100, 4)) as m from lineitem group by 1) on l_partkey = p_partkey")
+def running_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") / 50.0).alias("score"))
+    attached = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset_id"), F.round(F.col("l_quantity") / 100, 4).alias("score"))
+    return ingestion.with_running_max(assets, attached)
+
+
+@query(
+    """with one as (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_quantity) as k from lineitem),
+    t as (select l_orderkey as news_id, l_partkey as asset_id, round(l_quantity / 50, 4) as score, row_number() over (partition by l_orderkey order by round(l_quantity / 50, 4) desc, l_partkey)::int as vision_rank from one where k = 1 and round(l_quantity / 50, 4) >= 0.35)
+    select news_id, asset_id, vision_rank, round(0.4 * score + 0.6 * case when asset_id % 3 = 0 then score else (asset_id % 101) / 100.0 end, 4) as score, asset_id % 5 <> 0 and asset_id % 7 <> 0 and asset_id % 11 <> 0 as readable from t where vision_rank <= 3"""
+)
+def vision_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = ingestion.vision_candidates(_assets(spark, sf_dir).select("news_id", "asset_id", "score"))
+    k = F.col("asset_id")
+    replies = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 101).alias("reply"))
+    readable = ingestion.readable_by_vision(F.when(k % 5 == 0, "video").otherwise("image"), F.when(k % 7 != 0, "x"), F.when(k % 11 == 0, 5_000_000), F.lit(None).cast("string"))
+    return ingestion.vision_rescored(chosen, replies).select("news_id", "asset_id", "vision_rank", "score", readable.alias("readable"))
+
+
+@query(
+    """with one as (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_quantity) as k from lineitem),
+    r as (select l_orderkey as news_id, l_partkey as asset_id, row_number() over (partition by l_orderkey order by round(l_quantity / 50, 4) desc, l_linenumber, l_partkey)::int as rank from one where k = 1) select * from r where rank <= 2 and asset_id % 10 <> 0"""
+)
+def fingerprint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingestion.fingerprint_candidates(selection.rank_assets(_assets(spark, sf_dir)), 2).select("news_id", "asset_id", "rank")
+
+
+@query(
+    f"""with h as (select vec_id as id, label as kind, substr(sha256(label::varchar), 1, 14) || substr(sha256(vec_id::varchar), 1, 2) as h, vec_id % 60 as days, vec_id % 5 = 0 as copy from embeddings),
+    p as (select a.id, b.id as match_id, {_DISTANCE} as distance from h a join h b on a.id <> b.id and a.kind = b.kind where a.kind < 7 and b.days <= 30 and not b.copy)
+    select id, arg_min(match_id, (distance, match_id)) as match_id, min(distance)::int as distance, round(1.0 - min(distance) / 16.0, 2) as confidence from p where distance <= 8 group by id"""
+)
+def hamming_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit(NOW).cast("timestamp")
+    v, label = F.col("vec_id"), F.col("label").cast("string")
+    digits = F.concat(F.substring(F.sha2(label, 256), 1, 14), F.substring(F.sha2(v.cast("string"), 256), 1, 2))
+    assets = table(spark, sf_dir, "embeddings").select(v.alias("id"), label.alias("kind"), digits.alias("hash"), F.when(v % 5 == 0, v - 1).alias("duplicate_of_id"), F.timestamp_seconds(F.unix_timestamp(now) - v % 60 * 86400).alias("created_at"))
+    return dedup.nearest_known_hash(assets.select("id", "kind", "hash"), assets, now, kinds=[str(k) for k in range(7)])
+
+
+@query("select p_partkey, s_suppkey as source_id, s_name as source_name from part left join supplier on s_suppkey = p_partkey % 130")
+def asset_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("id_of"), F.col("s_name").alias("name"))
+    found = ingestion.with_source(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 130).alias("source_id")), sources)
+    return found.select("p_partkey", F.col("source_id_of").alias("source_id"), "source_name")
+
+
+@query(
+    """select 'p' || (p_partkey % 400) as fingerprint, min(p_partkey) as position, bool_or(p_size % 9 = 0) as featured, arg_min(p_brand, p_partkey) filter (where p_size % 2 = 0) as caption,
+    arg_min('a' || p_partkey, p_partkey) as a, arg_min('b' || p_partkey, p_partkey) filter (where p_size % 3 = 0) as b from part group by 1"""
+)
+def extracted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit(x), k.cast("string"))
+    extra = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("a"), name("a"), F.lit("b"), name("b"))).otherwise(F.create_map(F.lit("a"), name("a")))
+    media = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), (k % 400).cast("string")).alias("fingerprint"), k.alias("position"), (F.col("p_size") % 9 == 0).alias("featured"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("caption"), extra.alias("extra"))
+    return ingestion.merge_extracted(media, "fingerprint", ["position"], ["caption"], "extra").select("fingerprint", "position", "featured", "caption", F.col("extra")["a"].alias("a"), F.col("extra")["b"].alias("b"))

@@ -1,16 +1,17 @@
 """Fixed values of the content rules; every operator takes its own as parameters."""
 
 # Topic keywords.
-TOPIC_KEYWORDS = (
-    "ai|artificial intelligence|machine learning|deep learning|neural network|large language model|llm|llms|generative ai|genai|"
-    "chatbot|foundation model|multimodal model|transformer model|ai model|ai agent|ai system|ai startup|ai chip|ai regulation|"
-    "gpt|chatgpt|openai|anthropic|claude|gemini|copilot|midjourney|stable diffusion|hugging face|deepmind|nvidia ai|"
-    "ml|mlops|reinforcement learning|supervised learning|unsupervised learning|self-supervised|self supervised|transfer learning|"
-    "federated learning|fine-tuning|fine tuning|training run|inference|embedding|embeddings|diffusion model|vision model|"
-    "computer vision|natural language processing|nlp|speech recognition|benchmark|dataset|gpu cluster|tpu|"
-    "robot|robots|robotic|robotics|humanoid|cobot|autonomous vehicle|self-driving|self driving|drone|drones|uav|"
-    "manipulation|actuator|lidar|slam|teleoperation|exoskeleton|quadruped|swarm robotics|embodied ai|robot learning|motion planning|warehouse automation"
-).split("|")
+TOPIC_KEYWORDS = [
+    "ai", "artificial intelligence", "machine learning", "deep learning", "neural network", "large language model", "llm", "llms", "generative ai",
+    "genai", "chatbot", "foundation model", "multimodal model", "transformer model", "ai model", "ai agent", "ai system", "ai startup", "ai chip",
+    "ai regulation", "gpt", "chatgpt", "openai", "anthropic", "claude", "gemini", "copilot", "midjourney", "stable diffusion", "hugging face",
+    "deepmind", "nvidia ai", "ml", "mlops", "reinforcement learning", "supervised learning", "unsupervised learning", "self-supervised",
+    "self supervised", "transfer learning", "federated learning", "fine-tuning", "fine tuning", "training run", "inference", "embedding",
+    "embeddings", "diffusion model", "vision model", "computer vision", "natural language processing", "nlp", "speech recognition", "benchmark",
+    "dataset", "gpu cluster", "tpu", "robot", "robots", "robotic", "robotics", "humanoid", "cobot", "autonomous vehicle", "self-driving",
+    "self driving", "drone", "drones", "uav", "manipulation", "actuator", "lidar", "slam", "teleoperation", "exoskeleton", "quadruped",
+    "swarm robotics", "embodied ai", "robot learning", "motion planning", "warehouse automation",
+]
 
 # Priority signals (pattern over lower-cased text, weight).
 PRIORITY_SIGNALS = (

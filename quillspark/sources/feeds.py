@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.functions import urls
 from quillspark.sources import markup
@@ -20,7 +23,7 @@ ATOM_SCHEMA = "title string, id string, summary string, content string, publishe
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files, with the file; a broken file gives no rows."""
-    return spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(RSS_SCHEMA.replace("guid string", "guid string")).load(path).withColumn("feed", F.input_file_name())
+    return spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(RSS_SCHEMA).load(path).withColumn("feed", F.input_file_name())
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
@@ -100,21 +103,60 @@ FETCHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def fetch_all(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
-    """Candidates of (fetch type, path) sources; a type without a fetcher gives none."""
+#: Sources are configured by hand, so they are few.
+MAX_SOURCES = 10_000
+#: Candidates that one fetch of a feed gives at most.
+MAX_ITEMS = 20
+SOURCES = "slug string, name string, fetch_type string, source_url string, reliability_score int, media_reuse_permitted boolean, fetch_options map<string,string>, is_active boolean"
+
+
+def source_rows(spark: SparkSession, configured: list[dict]) -> DataFrame:
+    """Configured sources as a relation, with what an entry doesn't state."""
+    rows = [(c["slug"], c["name"], c.get("fetch_type", "rss"), c.get("url"), c.get("reliability_score", 50), c.get("media_reuse_permitted", False), {k: str(v) for k, v in c.get("fetch_options", {}).items()}, c.get("is_active", True)) for c in configured]
+    return spark.createDataFrame(rows, SOURCES)
+
+
+def active(sources: DataFrame) -> DataFrame:
+    return sources.where("is_active")
+
+
+def dispatched(sources: DataFrame, known: dict = FETCHERS) -> DataFrame:
+    """Sources with the fetcher that takes them, or the error that none does."""
+    fit = F.col("fetch_type").isin(list(known))
+    return sources.withColumn("fetcher", F.when(fit, F.col("fetch_type"))).withColumn("error", F.when(~F.coalesce(fit, F.lit(False)), F.concat(F.lit("no fetcher for "), F.coalesce("fetch_type", F.lit("null")))))
+
+
+@F.pandas_udf(StringType())
+def _xml_error(content: pd.Series) -> pd.Series:
+    def of(raw: bytes) -> str | None:
+        try:
+            ElementTree.fromstring(raw)
+        except ElementTree.ParseError as broken:
+            return str(broken)
+        return None
+
+    return content.map(of)
+
+
+def feed_warnings(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, warning) of the feed files that aren't well-formed, which give no candidates."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("feed"), _xml_error("content").alias("warning")).where("warning is not null")
+
+
+def fetch_all(spark: SparkSession, sources: list[tuple[str, str]], most: int = MAX_ITEMS) -> DataFrame:
+    """Candidates of (fetch type, path) sources, the first ``most`` of each feed; a type without a fetcher gives none."""
     frames = [FETCHERS[kind](spark, path) for kind, path in sources if kind in FETCHERS]
     out = frames[0] if frames else spark.createDataFrame([], "feed string, url string, title string, summary string, published string")
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
-
-
-def valid_headers(headers: Column) -> Column:
-    """Header map without entries that hold line ends or a colon in their name, names lower-cased."""
-    fit = F.map_filter(headers, lambda k, v: ~k.rlike("[\\r\\n:]") & ~v.rlike("[\\r\\n]") & (F.trim(k) != ""))
-    return F.map_from_entries(F.transform(F.map_entries(fit), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    return newest(out.withColumn("_place", F.monotonically_increasing_id()), "feed", F.col("_place"), most).drop("_place")
 
 
-def bounded(files: DataFrame, most: int) -> DataFrame:
-    """Rows of the binaryFile source that are neither empty nor too large."""
-    return files.where(F.col("length").between(1, most))
+def fetch_active(spark: SparkSession, sources: DataFrame, most: int = MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """(candidates of the active sources, (slug, error) of those that no fetcher takes)."""
+    found = dispatched(active(sources)).select("slug", "fetcher", "source_url", "error")
+    rows = found.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    return fetch_all(spark, [(r.fetcher, r.source_url) for r in rows if r.fetcher], most), found.where("error is not null").select("slug", "error")

@@ -356,6 +356,54 @@ def resolve_udf(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve(h, b or "") for h, b in zip(href, base, strict=True)])
 
 
+def feed_media(entries: list[dict] | None, base: str) -> list[dict]:
+    """Media that a feed's item states: dicts of url, kind (MIME type or medium) and extracted_by."""
+    found = []
+    for entry in entries or []:
+        url, kind = resolve(entry["url"] or "", base), (entry["kind"] or "").lower()
+        if url and all(f["url"] != url for f in found):
+            of = "video" if kind.startswith("video") else "audio" if kind.startswith("audio") else "gif" if kind == "image/gif" else "image"
+            found.append({"url": url, "type": of, "extracted_by": entry["extracted_by"], "alt": None, "width": None, "height": None, "thumbnail": None, "position": len(found)})
+    return found
+
+
+def payload_media(entries: list[dict] | None, base: str) -> list[dict]:
+    """Media of an interface's payload: dicts of url and featured."""
+    stated = [{"url": e["url"], "kind": "image", "extracted_by": "api_payload"} for e in entries or []]
+    return feed_media(stated, base)
+
+
+#: Extractors in the order in which their finds count, publishers' own data first.
+EXTRACTORS = (
+    ("metadata", lambda html, base, feed, payload: metadata_media(html, base) if html else []),
+    ("feed", lambda html, base, feed, payload: feed_media(feed, base)),
+    ("payload", lambda html, base, feed, payload: payload_media(payload, base)),
+    ("content", lambda html, base, feed, payload: content_media(html, base) if html else []),
+)
+
+
+def extracted(html: str | None, base: str | None, feed: list[dict] | None = None, payload: list[dict] | None = None, extractors=EXTRACTORS) -> tuple[list[dict], list[str]]:
+    """(finds of all extractors in order, names of those that failed); one that fails leaves the others' finds."""
+    found: list[dict] = []
+    failed: list[str] = []
+    for name, run in extractors:
+        try:
+            found += run(html, base or "", feed, payload)
+        except Exception:
+            failed.append(name)
+    return found, failed
+
+
+EXTRACTED = T.StructType([T.StructField("media", T.ArrayType(MEDIA)), T.StructField("failed", _STRINGS)])
+
+
+@F.pandas_udf(EXTRACTED)
+def extracted_udf(html: pd.Series, base: pd.Series, feed: pd.Series, payload: pd.Series) -> pd.DataFrame:
+    """struct<media, failed> of all four extractors; feed and payload are arrays of structs, or null."""
+    rows = [extracted(*x) for x in zip(html, base, feed, payload, strict=True)]
+    return pd.DataFrame({"media": [m for m, _ in rows], "failed": [f for _, f in rows]})
+
+
 @F.pandas_udf(T.ArrayType(MEDIA))
 def media_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     """Media of metadata first, then of the content."""

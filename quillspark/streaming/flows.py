@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillspark.sources.storage import exists
+
 LATCH_TTL_MS = 2 * 60 * 60 * 1000
 LATCH = "news_id string, remaining int, done boolean"
 CHAIN = "channel_id long, token string, live boolean"
@@ -71,23 +74,36 @@ def token_chain(ticks: DataFrame) -> DataFrame:
 
 
 def ledger_sink(spark: SparkSession, path: str, keys: list[str], send: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: sends rows whose key the ledger lacks and appends them; a batch that runs again adds nothing.
+    """For foreachBatch: claims rows whose key has no claim yet, sends them, and appends their outcome to the ledger.
 
-    ``send`` (rows -> rows with an outcome) is the effect; without it rows count as sent.
+    A claim is written before its send. So a batch that runs again after a failure
+    between the two sends nothing twice: such rows keep a claim without an outcome
+    (``uncertain`` lists them), and someone has to look. ``send`` (rows -> rows with
+    an outcome) is the effect; without it rows count as sent. Claims are in
+    ``path``/claims, outcomes in ``path``/ledger; the sink is their only writer.
     """
+    claims, ledger = f"{path}/claims", f"{path}/ledger"
 
     def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as missing:  # no ledger has been written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        (send(fresh) if send else fresh).write.mode("append").parquet(path)
+        fresh, attempt = batch.dropDuplicates(keys), uuid.uuid4().hex
+        mine = fresh.select(*keys)
+        if exists(spark, claims):
+            mine = mine.join(spark.read.parquet(claims).select(*keys), keys, "left_anti")
+        mine.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(claims)
+        # what was written says what may be sent; the anti join would now find it claimed
+        claimed = spark.read.parquet(claims).where(F.col("attempt") == attempt).select(*keys)
+        fresh = fresh.join(claimed, keys, "left_semi")
+        (send(fresh) if send else fresh).write.mode("append").parquet(ledger)
 
     return write
 
 
+def uncertain(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Claims of a ledger sink without an outcome: their send may or may not have arrived."""
+    claims = spark.read.parquet(f"{path}/claims").select(*keys)
+    return claims.join(spark.read.parquet(f"{path}/ledger").select(*keys), keys, "left_anti") if exists(spark, f"{path}/ledger") else claims
+
+
 def fresh_only(stream: DataFrame, time: str, now: Column, hours: int) -> DataFrame:
     """A clock filter at ingest and again at sending; a watermark follows the data, not the clock."""
     return stream.where((F.col(time) >= now - F.expr(f"INTERVAL {int(hours)} HOURS")) & (F.col(time) < now + F.expr("INTERVAL 1 HOUR")))

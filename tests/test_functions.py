@@ -68,9 +68,22 @@ def test_captions(spark):
     assert one(spark, texts.utf16_length(F.lit("😀a"))) == 3
     assert each(spark, ["abc", "абв", "12", None], lambda c: texts.matches_script(c, "Latin")) == [True, False, False, False]
     long = F.lit("word " * 400)
-    out = one(spark, texts.caption(F.lit("H"), long, F.lit("ha"), F.lit("link"), F.lit("#t")))
+    no_title = F.lit(None).cast("string")
+    section = lambda *pairs: F.array(*(F.struct(t.alias("title"), b.alias("body")) for t, b in pairs))
+    out = one(spark, texts.caption(F.lit("H"), section((no_title, long)), F.lit("ha"), F.lit("link"), F.lit("#t")))
     assert len(out) <= 1000 and out.startswith("H\n\nword") and out.endswith("…\n\nlink")
-    assert one(spark, texts.caption(F.lit("H"), F.lit("b"), F.lit("ha"), F.lit("link"), F.lit("#t"))) == "H\n\nb\n\nha\n\nlink\n\n#t"
+    assert one(spark, texts.caption(F.lit("H"), section((no_title, F.lit("b"))), F.lit("ha"), F.lit("link"), F.lit("#t"))) == "H\n\nb\n\nha\n\nlink\n\n#t"
+    # the link is last but the tags, and an empty row stands between a title and its body
+    assert one(spark, texts.caption(no_title, section((F.lit("T"), F.lit(" b "))), no_title, F.lit("link"), F.lit("#t"))) == "T\n\nb\n\nlink\n\n#t"
+    # tags go first, then humour
+    body = F.lit("x" * 990)
+    assert one(spark, texts.caption(F.lit("H"), section((no_title, body)), F.lit("ha"), F.lit("link"), F.lit("#t"))) == "H\n\n" + "x" * 990 + "\n\nlink"
+    # two sections share what is left equally
+    out = one(spark, texts.caption(F.lit("H"), section((F.lit("A"), long), (F.lit("B"), long)), no_title, F.lit("link"), no_title))
+    parts = out.split("\n\n")
+    assert len(out) <= 1000 and (parts[0], parts[-1]) == ("H", "link") and abs(len(parts[-2]) - len(parts[-3 if len(parts) == 4 else -4])) < 8
+    # a header that is too long leaves the link alone
+    assert one(spark, texts.caption(F.lit("H" * 2000), section((F.lit("A"), F.lit("b"))), no_title, F.lit("link"), no_title)) == "link"
 
 
 def now():

@@ -42,9 +42,29 @@ def test_nearest_hash_takes_the_least(spark):
 
 
 def test_embeddings(spark):
-    rows = [(k, [float(k == j) + (0.01 if k % 2 else 0.0) for j in range(8)]) for k in range(4)] + [(9, [1.0, 0.01] + [0.0] * 6)]
+    base = [[float(k == j) + (0.01 if k % 2 else 0.0) for j in range(8)] for k in range(4)]
+    rows = [*enumerate(base), (9, [1.0, 0.01] + [0.0] * 6), (11, base[2]), (12, base[2]), (20, None), (21, []), (22, [1.0] * 7), (23, [1.0] * 7 + [None]), (None, base[0]), (24, [0.0] * 8)]
     df = spark.createDataFrame(rows, "id int, vector array<double>")
-    assert {(r.id, r.match_id) for r in dedup.embedding_pairs(df).collect()} == {(0, 9)}
+    found = {r.id: (r.match_id, r.similarity) for r in dedup.nearest_vector(df).collect()}
+    assert {k: v[0] for k, v in found.items()} == {0: 9, 9: 0, 2: 11, 11: 2, 12: 2, 24: 24} or {k: v[0] for k, v in found.items()} == {0: 9, 9: 0, 2: 11, 11: 2, 12: 2}
+    assert found[11][1] == 1.0 and found[0][1] > 0.99
+    assert dedup.nearest_vector(df.limit(0)).count() == 0
+
+
+def test_embeddings_against_all_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = r.standard_normal((150, 16))
+    near = base[:100] + r.standard_normal((100, 16)) * r.uniform(0.05, 0.5, (100, 1))
+    x = np.concatenate([base, near])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -1)
+    expected = {k: int(np.flatnonzero(s[k] == s[k].max())[0]) for k in range(len(x)) if s[k].max() >= 0.92}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, vector array<double>")
+    found = {r.id: r.match_id for r in dedup.nearest_vector(df).collect()}
+    assert len(expected) > 50 and len(set(expected.items()) ^ set(found.items())) <= 0.02 * len(expected)
 
 
 def test_groups_depend_on_the_order(spark):
@@ -109,7 +129,28 @@ def test_ledger_sink_is_idempotent(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "channel_id int, url string")
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(path).count() == 2
+    assert spark.read.parquet(f"{path}/ledger").count() == 2 and flows.uncertain(spark, path, ["channel_id", "url"]).count() == 0
+
+
+def test_a_failed_send_is_never_sent_again(spark, tmp_path):
+    """The process ends between claim and outcome: the batch that runs again sends nothing, and the claim stays uncertain."""
+    path, sent = str(tmp_path / "ledger"), []
+
+    def send(rows):
+        sent.extend(r.url for r in rows.collect())
+        if len(sent) == 2:
+            raise RuntimeError("lost")
+        return rows.withColumn("outcome", F.lit("sent"))
+
+    write = flows.ledger_sink(spark, path, ["url"], send)
+    batch = spark.createDataFrame([("a",), ("b",)], "url string")
+    with pytest.raises(RuntimeError):
+        write(batch, 0)
+    write(batch, 0)
+    write(spark.createDataFrame([("a",), ("c",)], "url string"), 1)
+    assert sorted(sent) == ["a", "b", "c"]
+    assert {r.url for r in flows.uncertain(spark, path, ["url"]).collect()} == {"a", "b"}
+    assert [r.url for r in spark.read.parquet(f"{path}/ledger").collect()] == ["c"]
 
 
 def test_streams(spark, tmp_path):

@@ -92,6 +92,8 @@ def ledger_sink(spark: SparkSession, path: str, keys: list[str], send: Callable[
         mine.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(claims)
         # what was written says what may be sent; the anti join would now find it claimed
         claimed = spark.read.parquet(claims).where(F.col("attempt") == attempt).select(*keys)
+        if claimed.isEmpty():
+            return
         fresh = fresh.join(claimed, keys, "left_semi")
         (send(fresh) if send else fresh).write.mode("append").parquet(ledger)
 

@@ -36,9 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold windows of two benchmark items or more."""
-    lost = decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold a whole window of a benchmark item, or the windows of two items."""
+    return decontaminate.leave_out(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept. All but the last return the columns of documents. ``run`` writes
 each stage's result into the shared folder and reads it again, so that a lost
-executor costs the stage at hand at most. Rows with nulls pass through each
-stage as its operator's docstring says.
+executor costs the stage at hand at most; what a stage wrote for itself goes when
+its result is written.
+
+Nulls, empty and very long texts, and repeated ids pass through each stage as its
+operator's docstring says: a null or empty text has no language and goes in the
+first stage, a row that repeats an id and a text stays once. Extra columns of the
+input are left out, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +33,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group, once."""
-    found = Workspace(spark, "groups").save(neardup.groups(docs).select("doc_id", "kept"), "found")
-    kept = docs.select(*COLUMNS).join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Keeps one document of each group: that with the least id. A document without words is in no group."""
+    return neardup.keep_one(docs.select(*COLUMNS))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = space.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with Workspace.passing():
+            docs = space.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            space.drop(f"stage{k - 1}")
     return docs

@@ -59,6 +59,27 @@ def parse(formatted: str) -> list[tuple[str, str]] | None:
     return found
 
 
+class Reader:
+    """Parses a conversation's output as it comes; the same turns as ``parse`` of all of it."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, formatted: str) -> list[tuple[str, str]]:
+        """(role, text) of each turn that is complete now."""
+        self.rest += formatted
+        found, at = [], 0
+        while m := _TURN.match(self.rest, at):
+            found.append((ROLES[m["role"]] if m["role"] in ROLES else unescape(m["role"][1:]), unescape(m["text"])))
+            at = m.end()
+        self.rest = self.rest[at:]
+        return found
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("a conversation doesn't read back")
+
+
 def render(role: str, text: str) -> tuple[str, int, int, int]:
     """(output, escape level, start and end of the text in it) of one turn."""
     head = f"### {_header(role)}: "
@@ -90,7 +111,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     conversations: conv_id, turn, role, text; other columns are left out. A null
     text or role is empty. A conversation's output is that of its turns, in the
     order of turn (null first), role and text. Repeated rows are turns of their
-    own. Loss bounds (code points) are null but for assistant turns.
+    own. Loss bounds (code points) are null but for assistant turns. A turn of any
+    length is taken whole; an empty table gives no rows.
     """
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return turns.mapInArrow(_formatted, FORMAT_SCHEMA)
@@ -100,7 +122,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, state, rows = None, None, []
 
     def closed() -> tuple:
-        n, turns, chars, loss, total = state
+        reader, n, turns, chars, loss, total = state
+        reader.close()
         return key, n, turns.hexdigest(), chars, loss.hexdigest(), total
 
     def packed() -> pa.RecordBatch:
@@ -110,19 +133,18 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     for batch in batches:
-        for conv_id, out, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv_id, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if state is None or conv_id != key:
                 if state is not None:
                     rows.append(closed())
-                key, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in parse(out):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-            if start is not None:
-                loss = unescape(out[start:end])
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-            state[4] += len(out)
+                key, state = conv_id, [Reader(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for role, text in state[0].feed(out):
+                state[1] += 1
+                state[2].update(f"{role}\n{text}\n".encode())
+                if role == "assistant":
+                    state[3] += len(text)
+                    state[4].update(text.encode())
+            state[5] += len(out)
         yield packed()
         rows = []
     if state is not None:
@@ -131,10 +153,10 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """One row for each conversation, read back from its turns' output.
+    """One row for each conversation, read back from its whole output: turns, and the assistant's texts under the loss mask.
 
     Rows of a conversation go to one task, sorted, and stream through running
     digests, so a conversation of any size needs the memory of one batch.
     """
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_digested, DIGEST_SCHEMA)
+    return ordered.select("conv_id", "formatted").mapInArrow(_digested, DIGEST_SCHEMA)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import Workspace
 from quillspark.llm.textbytes import ALNUM, NOT_SPACE, Words, byte_set, slices, windows, words
 
 MIN_WORDS = 50
@@ -39,6 +40,8 @@ SHARE_BINS = 1000
 #: Largest Jensen-Shannon distances, and the least code points or words for which they are judged.
 MAX_CHAR_DISTANCE = 0.18
 MAX_WORD_DISTANCE = 0.35
+#: A language with fewer long documents has no reference; its documents are held against those of the others.
+MIN_REFERENCE_DOCS = 20
 MIN_CHARS_JUDGED = 200
 MIN_WORDS_JUDGED = 50
 
@@ -165,13 +168,16 @@ def learn(docs: DataFrame) -> References:
     2 / WORD_SHARE words.
     """
     texts = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sums = texts.mapInArrow(_counted(None), _COUNTS).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    of_all = F.sum(F.when(F.col("kind") == _TOTAL, F.col("n"))).over(_by_lang())
-    sums = sums.withColumn("total", of_all).where((F.col("kind") != _WORD) | (F.col("n") >= WORD_SHARE / 2 * F.col("total")))
+    space = Workspace(docs.sparkSession, "quality")
+    sums = space.save(texts.mapInArrow(_counted(None), _COUNTS).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "sums")
+    # a row for each language, of which there are few
+    totals = dict(sums.where(F.col("kind") == _TOTAL).select("lang", "n").collect())
+    least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, WORD_SHARE / 2 * n)]) if totals else F.create_map().cast("map<string,double>")
+    sums = sums.where((F.col("kind") != _WORD) | (F.col("n") >= F.try_element_at(least, F.col("lang"))))
     spread: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES * (SHARE_BINS + 1)))
     maybe: dict[str, list[int]] = defaultdict(list)
     n_words: dict[str, int] = {}
-    for lang, kind, key, n, _ in sums.collect():
+    for lang, kind, key, n in sums.collect():
         if kind == _TOTAL:
             n_words[lang] = n
         elif kind == _CHARS:
@@ -188,20 +194,16 @@ def learn(docs: DataFrame) -> References:
     for lang, found in exact.items():
         top = sorted(sorted(found, key=lambda x: (-x[0], x[1]))[:COMMON_WORDS], key=lambda x: np.int64(x[1]).view(np.uint64))
         common[lang] = (np.array([k for _, k in top], np.int64).view(np.uint64), np.array([n for n, _ in top]) / n_words[lang])
-    return References({lang: _medians(n.reshape(N_CLASSES, -1)) for lang, n in spread.items()}, common)
+    space.drop("sums")
+    medians = {lang: m for lang, n in spread.items() if (m := _medians(n.reshape(N_CLASSES, -1))) is not None}
+    return References(medians, {lang: x for lang, x in common.items() if lang in medians})
 
 
-def _medians(spread: np.ndarray) -> np.ndarray:
-    """The median share of each class, from counts of documents by share; they are made to sum to 1."""
+def _medians(spread: np.ndarray) -> np.ndarray | None:
+    """The median share of each class, from counts of documents by share; they are made to sum to 1. None of too few documents."""
     below = np.cumsum(spread, axis=1)
     found = (below < below[:, -1:] / 2).sum(axis=1) / SHARE_BINS
-    return found / found.sum()
-
-
-def _by_lang():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang")
+    return found / found.sum() if below[0, -1] >= MIN_REFERENCE_DOCS and found.sum() > 0 else None
 
 
 def excess_distance(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -261,9 +263,9 @@ def judge(docs: DataFrame, references: References | None = None) -> DataFrame:
     """Counts, distances and verdict of each document.
 
     docs: doc_id, text, lang; other columns are left out. A null or empty text
-    has no words, so it fails the base rule. A document whose language is null
-    or unknown is held against the nearest of all references; without any
-    reference only the base rule counts. Each row is judged by itself, repeated
+    has no words, so it fails the base rule. A document whose language is null,
+    or has fewer than ``MIN_REFERENCE_DOCS`` long documents, is held against the
+    nearest of all references; without any reference only the base rule counts. Each row is judged by itself, repeated
     rows and ids too; texts of any length are taken whole; an empty table gives
     no rows.
     """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Written tables of one run; written data cuts the lineage and outlives executors."""
 
+    _opened: list[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        for opened in self._opened:
+            opened.append(self)
+
+    @classmethod
+    @contextmanager
+    def passing(cls) -> Iterator[None]:
+        """Tables of the workspaces that are made inside go at the end; write what is to be kept before."""
+        opened: list[Workspace] = []
+        cls._opened.append(opened)
+        try:
+            yield
+        finally:
+            cls._opened.remove(opened)
+            for space in opened:
+                space.drop("")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -37,5 +56,5 @@ class Workspace:
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(table).rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -161,13 +161,25 @@ def from_bytes(raw: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 
 
 def _put(root: str, name: str, raw: bytes) -> None:
-    """Write under another name, then move: a task that runs twice leaves one whole file."""
+    """Write under another name, then move: a task that runs twice leaves one whole file.
+
+    A file that is there already came from an earlier attempt at the same rows, so
+    it stays; some stores refuse to move onto it.
+    """
     fs, folder = pafs.FileSystem.from_uri(root)
     fs.create_dir(folder, recursive=True)
+    there = lambda: fs.get_file_info(f"{folder}/{name}").type == pafs.FileType.File
+    if there():
+        return
     other = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(other) as out:
         out.write(raw)
-    fs.move(other, f"{folder}/{name}")
+    try:
+        fs.move(other, f"{folder}/{name}")
+    except OSError:
+        if not there():
+            raise
+        fs.delete_file(other)
 
 
 def _written(path: str, root: str, end_id: int, shard_tokens: int):

@@ -97,6 +97,24 @@ def test_wavelet_round_trip(docs, none, spark):
     assert wavelet.round_trip(none).count() == 0
 
 
+def test_a_shard_that_is_there_stays(tmp_path):
+    for raw in (b"one", b"one"):
+        wavelet._put(f"file://{tmp_path}/shards", "part-0.wvm", raw)
+    assert [p.name for p in (tmp_path / "shards").iterdir()] == ["part-0.wvm"] and (tmp_path / "shards" / "part-0.wvm").read_bytes() == b"one"
+
+
+def test_passing_work_tables_go(spark):
+    from quillspark.llm.shared import Workspace
+
+    kept = Workspace(spark, "kept")
+    with Workspace.passing():
+        other = Workspace(spark, "passing")
+        out = kept.save(other.save(spark.range(3).toDF("x"), "a"), "b")
+    assert out.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(other.path("a")).count()
+
+
 def test_wavelet_matrix_answers():
     import numpy as np
 
@@ -187,6 +205,69 @@ def expect_removed(rows, span):
     return cut, gone
 
 
+def test_quality_distances_against_plain_python(spark):
+    """References and both distances of every document of the smallest table, by dictionaries."""
+    import math
+    import statistics
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def classes(text):
+        found = [0] * 11
+        for c in text or "":
+            n = len(c.encode())
+            kind = 9 if n == 2 else 10 if n > 2 else 0 if c in "abcdefghijklmnopqrstuvwxyz" else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in " \t" else 4 if c in "\r\n" else 6 if c in "#*$%&|<>" else 5 if c in ".,;:?'\"()-" else 7 if c.isprintable() else 8
+            found[kind] += 1
+        return found
+
+    def split(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+    def distance(p, q, n):
+        bits = sum(a * math.log2(2 * a / (a + b)) for a, b in zip(p, q, strict=True) if a) / 2 + sum(b * math.log2(2 * b / (a + b)) for a, b in zip(p, q, strict=True) if b) / 2
+        return math.sqrt(max(0, bits - (len(p) - 1) / (8 * math.log(2) * max(n, 1))))
+
+    chars, common = {}, {}
+    for lang in {r.lang for r in rows}:
+        own = [classes(r.text) for r in rows if r.lang == lang]
+        shares = [[round(1000 * x / sum(c)) for x in c] for c in own if sum(c) >= 200]
+        if len(shares) < quality.MIN_REFERENCE_DOCS:
+            continue
+        medians = [statistics.median_low(x) / 1000 for x in zip(*shares, strict=True)]
+        chars[lang] = [x / sum(medians) for x in medians]
+        words_of = Counter(w for r in rows if r.lang == lang for w in split(r.text))
+        total = sum(words_of.values())
+        top = sorted((-n, w) for w, n in words_of.items() if n >= 0.002 * total)[:32]
+        common[lang] = {w: -n / total for n, w in top}, -top[-1][0] if len(top) == 32 and sum(n == -top[-1][0] for n in words_of.values()) > 1 else None
+    assert len(chars) > 1
+    n_judged = 0
+    for r in quality.judge(spark.createDataFrame(rows)).collect():
+        row = next(x for x in rows if x.doc_id == r.doc_id)
+        if row.lang not in chars:
+            continue
+        own = classes(row.text)
+        expected = distance([x / max(1, sum(own)) for x in own], chars[row.lang], sum(own)) if sum(own) >= 200 else 0
+        assert abs(expected - r.char_distance) < 1e-6
+        table, tied = common[row.lang]
+        if tied is None:
+            w = split(row.text)
+            counts = Counter(x for x in w if x in table)
+            p, q = [counts[x] / max(1, len(w)) for x in table], list(table.values())
+            expected = distance([*p, 1 - sum(p)] if w else [*p, 0], [*q, max(0, 1 - sum(q))], len(w)) if len(w) >= 50 else 0
+            assert abs(expected - r.word_distance) < 1e-6
+            n_judged += expected > 0
+        assert r.kept == (not r.base_failed and r.char_distance <= quality.MAX_CHAR_DISTANCE and r.word_distance <= quality.MAX_WORD_DISTANCE)
+    assert n_judged > 10
+
+
+def test_few_documents_make_no_reference(spark):
+    """Three long documents of three scripts in one language, and one-word texts: none is rejected for its language."""
+    texts = [" ".join(f"{a}{k}" for k in range(120)) for a in ("word", "слово", "字")]
+    rows = [*((k, t, "xx") for k, t in enumerate(texts)), *((10 + k, "one", "yy") for k in range(30))]
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [found[k] for k in range(3)] == [True] * 3 and not any(found[10 + k] for k in range(30))
+
+
 @pytest.mark.parametrize("span", [2, substring.SPAN])
 def test_substring_against_brute_force(docs, none, span):
     cut, gone = expect_removed(ROWS, span)
@@ -483,6 +564,21 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_turns(conversations.limit(0))).count() == 0
 
 
+def test_chat_reads_a_whole_conversation(spark):
+    """The reader gives, piece by piece, what the parser gives of all of it; a broken conversation raises."""
+    turns = [("user", "a\\"), ("assistant", "</turn>\n### User: b"), ("we:ird", ""), ("assistant", "c" * 300_000)]
+    whole = "".join(chat.render(*t)[0] for t in turns)
+    assert chat.parse(whole) == turns
+    reader, found = chat.Reader(), []
+    for at in range(0, len(whole), 60_007):
+        found += reader.feed(whole[at : at + 60_007])
+    reader.close()
+    assert found == turns
+    reader.feed("### User: a")
+    with pytest.raises(ValueError):
+        reader.close()
+
+
 def test_chat_renders_any_text_back():
     pieces = ["\\", "#", "### ", "### Assistant: ", "User", "=", ":", " ", "<", "</turn>", "\n", "a", "é"]
     for _ in range(3000):

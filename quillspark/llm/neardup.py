@@ -14,8 +14,9 @@
 4. In buckets that are still open after that, all documents outside of the
    commonest component are compared with all of the bucket, again in tiles, now
    with finer sketches (more samples, made only for documents in buckets), and
-   every pair that may be a link is confirmed on the full sets. So no link that a
-   band has found is lost, whatever a bucket's size.
+   every pair that may be a link is confirmed on the full sets. A bucket that would
+   be copied into too many tiles is first split by longer bands of those samples,
+   so that documents which only share a passage rarely meet.
 5. Components of the confirmed links.
 
 No pairs within a bucket are written out, only partners that pass the sketch
@@ -46,6 +47,10 @@ SKETCH_FLOOR = 0.52
 #: The finer sketches: samples, bits, and the floor, 4.5 standard deviations below 0.75.
 FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 1024, 4096, 0.685
 TILE = 512
+#: Bands of the finer samples, 8 each: a pair at 0.75 misses all of them with probability 1e-6.
+FINE_BANDS = FINE_SAMPLES // 8
+#: A bucket of which each document would be copied into more tiles is split by those bands.
+MOST_COPIES = FINE_BANDS
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SKETCHED = "doc_id long, text_key long, n_shingles long, set1 long, set2 long, sketch array<long>, bands array<long>"
 
@@ -131,6 +136,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), shingles, _as_longs(bits)], ["doc", "shingles", "fine"])
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys of the finer samples."""
+    for batch in batches:
+        for first, end, data, offsets in slices(batch.column(1)):
+            row, h = shingle_sets(words(data, offsets, NOT_SPACE, lower=True))
+            bounds = np.searchsorted(row, np.arange(end - first + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            bands = np.zeros((len(full), FINE_BANDS), np.uint64)
+            if len(full):
+                with np.errstate(over="ignore"):
+                    for k, sample in enumerate(_samples(h, bounds[full], FINE_SAMPLES)):
+                        bands[:, k * FINE_BANDS // FINE_SAMPLES] = (bands[:, k * FINE_BANDS // FINE_SAMPLES] + sample) * _ODD
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * FINE_BANDS, pa.int32()), pa.array(mix(bands).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(full)), keys], ["doc", "subs"])
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,23 +248,42 @@ def _tiled(most: int, choose):
     return run
 
 
-def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, found_by, space: Workspace, name: str, whole: bool) -> DataFrame:
-    """Pairs in different components, from the buckets that hold several components."""
+def _opened(named: DataFrame) -> DataFrame:
+    """Members of the buckets (bucket, sub) that hold several components, with their number, that outside of the commonest component, and the latter."""
+    key = ["bucket", "sub"]
+    counts = named.groupBy(*key, "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*key).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("all"))
+    return named.join(main.select(*key, "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("rest")), key)
+
+
+def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile: int, found_by, space: Workspace, name: str, chosen: DataFrame | None) -> DataFrame:
+    """Pairs in different components, from the buckets that hold several components.
+
+    With ``chosen`` (doc, text) every such pair of a bucket meets; without it each
+    document is in one tile of its bucket.
+    """
     named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("all"))
-    main = main.select("bucket", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n")).alias("rest"))
-    named = space.save(named.join(main, "bucket"), name)
-    spread = lambda count, seed: F.pmod(F.xxhash64("doc", "bucket", F.lit(seed)), F.ceil(count / F.lit(tile)).cast("long")).cast("long")
+    named = space.save(_opened(named.withColumn("sub", F.lit(0).cast("long"))), name)
+    tiles = lambda count: F.ceil(count / F.lit(tile)).cast("long")
+    if chosen is not None:
+        wide = tiles(F.col("rest")) > MOST_COPIES
+        split = named.where(wide).select("bucket", "doc", "component")
+        if not split.isEmpty():
+            subs = chosen.join(split.select("doc").distinct(), "doc", "left_semi").mapInArrow(_finer, "doc long, subs array<long>")
+            split = _opened(split.join(subs, "doc").select("bucket", "doc", "component", F.explode("subs").alias("sub")))
+            named = named.where(~wide).unionByName(space.save(split, f"{name}-split"))
+    spread = lambda count, seed: F.pmod(F.xxhash64("doc", "bucket", "sub", F.lit(seed)), tiles(count)).cast("long")
     named = named.withColumn("i", spread(F.col("all"), 1)).withColumn("j", spread(F.col("rest"), 2))
-    if whole:
-        upto = lambda count: F.sequence(F.lit(0).cast("long"), F.ceil(count / F.lit(tile)).cast("long") - 1)
-        as_member = named.select("bucket", "i", F.explode(upto(F.col("rest"))).alias("j"), "doc", "component")
-        as_rest = named.where((F.col("component") != F.col("main")) & (F.col("all") > tile)).select("bucket", F.explode(upto(F.col("all"))).alias("i"), "j", "doc", "component")
+    if chosen is not None:
+        upto = lambda count: F.sequence(F.lit(0).cast("long"), tiles(count) - 1)
+        as_member = named.select("bucket", "sub", "i", F.explode(upto(F.col("rest"))).alias("j"), "doc", "component")
+        as_rest = named.where((F.col("component") != F.col("main")) & (F.col("all") > tile)).select("bucket", "sub", F.explode(upto(F.col("all"))).alias("i"), "j", "doc", "component")
         rows = as_member.unionByName(as_rest)
     else:
         # each document in one tile of its bucket; other buckets mix the documents anew
-        rows = named.select("bucket", "i", F.lit(0).cast("long").alias("j"), "doc", "component")
+        rows = named.select("bucket", "sub", "i", F.lit(0).cast("long").alias("j"), "doc", "component")
+    # one number for the place of a tile in its bucket
+    rows = rows.withColumn("i", F.when(F.col("sub") == 0, F.col("i")).otherwise(F.xxhash64("sub", "i")))
     rows = rows.join(sketches, "doc").select("bucket", "i", "j", "doc", "component", "sketch")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
     return rows.mapInArrow(found_by, "u long, v long").where("u != v").distinct()
@@ -313,10 +353,10 @@ def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Work
         ("forest", _tiled(most_differing_bits(floor), _forest), sketches),
         ("rest", _tiled(most_differing_bits(FINE_FLOOR, FINE_SAMPLES, FINE_BITS), _passing), sets.join(own.select("doc", "bands"), "doc").select("doc", F.concat("fine", "bands").alias("sketch"))),
     ):
-        pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open", step == "rest"), f"{step}-pairs")
+        pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open", chosen if step == "rest" else None), f"{step}-pairs")
         more = space.save(_confirm(pairs, sets, percent), f"{step}-links")
         comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, step)
-        space.drop(f"{step}-open", f"{step}-pairs")
+        space.drop(f"{step}-open", f"{step}-open-split", f"{step}-pairs")
     # a component's least node has no row of its own among them
     of_all = comps.select(F.col("node").alias("doc"), "component").unionByName(comps.select(F.col("component").alias("doc"), "component").distinct())
     linked = nodes.join(of_all, "doc")

@@ -387,6 +387,22 @@ def test_recall_of_pairs_near_the_limit(spark):
     assert sum(found[2 * k + 1] == 2 * k for k in range(200)) == 200
 
 
+def test_a_wide_bucket_is_split_by_finer_bands(spark, monkeypatch):
+    """As if every open bucket were too wide: the groups are the same."""
+    r = random.Random(9)
+    shared = [f"s{k}" for k in range(70)]
+    rows = []
+    for k in range(40):
+        # forty documents around one passage, in pairs that are near each other
+        own = shared + [f"{k // 2}w{j}" for j in range(80)]
+        rows.append((k, " ".join(own if k % 2 else [*own, r.choice("xyz")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(map(tuple, neardup.groups(docs).collect()))
+    assert [x[2] for x in expected] == [k - k % 2 for k in range(40)]
+    monkeypatch.setattr(neardup, "MOST_COPIES", 0)
+    assert sorted(map(tuple, neardup.groups(docs, tile=4).collect())) == expected
+
+
 def test_tiles_find_what_pairs_find():
     import numpy as np
 

@@ -6,9 +6,10 @@ of ones before each block of 512 bits, a plane answers rank by one block and
 select by a binary search, and so the file gives the id at a place, the count of
 an id before a place, and the places of an id, without the ids themselves.
 
-File: magic, a header (number of ids, planes, documents), then zstandard frames:
-document ids, whether an id is null, ids by document, zeros of each plane, and
-for each plane its block ranks and its bits.
+File: magic, a header (number of ids, planes, documents, frames), the length of each
+frame, then zstandard frames: document ids, whether an id is null, ids by document,
+zeros of each plane, and for each plane its block ranks and its bits in chunks of
+``CHUNK`` bytes. A lookup opens one chunk and the ranks of each plane, no more.
 """
 
 from __future__ import annotations
@@ -30,18 +31,43 @@ from quillspark.llm.shared import Workspace
 from quillspark.llm.textbytes import slices
 from quillspark.llm.tokens import default_path, encoder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BLOCK = 512
+#: Bytes of a plane in one frame, a multiple of a block's.
+CHUNK = 1 << 15
 SHARD_TOKENS = 4_000_000
 END_ID = 1
 MANIFEST = "part long, shard long, n_docs long, n_tokens long"
 READ = "part long, shard long, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
+class Frames:
+    """An array in compressed frames, each of which is opened when something of it is read."""
+
+    def __init__(self, frames: list[memoryview], kind, chunk: int):
+        self.frames, self.kind, self.chunk, self.opened = frames, kind, chunk, {}
+
+    def _frame(self, k: int) -> np.ndarray:
+        if k not in self.opened:
+            self.opened[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), self.kind)
+        return self.opened[k]
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self._frame(int(at) // self.chunk)[int(at) % self.chunk]
+        first, end = at.start // self.chunk, min(-(-at.stop // self.chunk), len(self.frames))
+        parts = [self._frame(k) for k in range(first, end)]
+        return np.concatenate(parts)[at.start - first * self.chunk : at.stop - first * self.chunk] if parts else np.zeros(0, self.kind)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        parts = [self._frame(k) for k in range(len(self.frames))]
+        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
+
+
 class WaveletMatrix:
     """Planes from the highest bit down; ``ranks`` has the ones before each block."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray | Frames], zeros: list[int], ranks: list[np.ndarray | Frames]):
         self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
 
     @classmethod
@@ -102,7 +128,7 @@ class WaveletMatrix:
 
     def _select_bit(self, plane: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) bit of a kind in a plane."""
-        ranks = self.ranks[plane].astype(np.int64)
+        ranks = np.asarray(self.ranks[plane]).astype(np.int64)
         before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
         bits = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
@@ -126,7 +152,7 @@ class WaveletMatrix:
         """All ids, by undoing the partings from the last plane up."""
         now = np.zeros(self.n, np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(np.asarray(self.planes[k]), count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(now)
             before[~ones], before[ones] = now[: self.zeros[k]], now[self.zeros[k] :] | np.uint32(1 << len(self.planes) - 1 - k)
             now = before
@@ -139,25 +165,29 @@ def to_bytes(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) ->
     pack = zstandard.ZstdCompressor(level=1).compress
     null = np.array([d is None for d in doc_ids], np.uint8)
     parts = [np.array([d or 0 for d in doc_ids], "<i8"), null, np.asarray(counts, "<i8"), np.array(wm.zeros, "<i8")]
-    frames = [pack(x.tobytes()) for x in (*parts, *(x for pair in zip(wm.ranks, wm.planes, strict=True) for x in pair))]
-    return MAGIC + struct.pack("<QQQ", wm.n, len(wm.planes), len(doc_ids)) + b"".join(struct.pack("<Q", len(f)) + f for f in frames)
+    for ranks, plane in zip(wm.ranks, wm.planes, strict=True):
+        parts += [ranks, *(plane[at : at + CHUNK] for at in range(0, len(plane), CHUNK))]
+    frames = [pack(x.tobytes()) for x in parts]
+    return MAGIC + struct.pack("<QQQQ", wm.n, len(wm.planes), len(doc_ids), len(frames)) + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
 
 
 def from_bytes(raw: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """(matrix, document ids, ids by document) of a file."""
+    """(matrix, document ids, ids by document) of a file; planes are opened where they are read."""
     if raw[:4] != MAGIC:
         raise ValueError("not a wavelet matrix file")
-    n, n_planes, _ = struct.unpack_from("<QQQ", raw, 4)
-    at, frames, unpack = 28, [], zstandard.ZstdDecompressor().decompress
-    while at < len(raw):
-        (size,) = struct.unpack_from("<Q", raw, at)
-        frames.append(unpack(raw[at + 8 : at + 8 + size]))
-        at += 8 + size
-    docs, null, counts, zeros = (np.frombuffer(f, kind) for f, kind in zip(frames, ("<i8", np.uint8, "<i8", "<i8"), strict=False))
-    planes = [np.frombuffer(f, np.uint8) for f in frames[5::2]]
-    ranks = [np.frombuffer(f, "<u4") for f in frames[4::2]]
-    ids = [None if x else d for d, x in zip(docs.tolist(), null.tolist(), strict=True)]
-    return WaveletMatrix(n, planes[:n_planes], zeros.tolist(), ranks), ids, counts
+    n, n_planes, _, n_frames = struct.unpack_from("<QQQQ", raw, 4)
+    sizes = struct.unpack_from(f"<{n_frames}Q", raw, 36)
+    ends = np.cumsum([36 + 8 * n_frames, *sizes]).tolist()
+    frames = [memoryview(raw)[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    docs, null, counts, zeros = (Frames([f], kind, 1) for f, kind in zip(frames[:4], ("<i8", np.uint8, "<i8", "<i8"), strict=True))
+    of_plane = -(-(-(-n // 8)) // CHUNK)
+    planes, ranks = [], []
+    for k in range(n_planes):
+        at = 4 + k * (of_plane + 1)
+        ranks.append(Frames(frames[at : at + 1], "<u4", n // BLOCK + 2))
+        planes.append(Frames(frames[at + 1 : at + 1 + of_plane], np.uint8, CHUNK))
+    ids = [None if x else d for d, x in zip(np.asarray(docs).tolist(), np.asarray(null).tolist(), strict=True)]
+    return WaveletMatrix(n, planes, np.asarray(zeros).tolist(), ranks), ids, np.asarray(counts)
 
 
 def _put(root: str, name: str, raw: bytes) -> None:

@@ -127,6 +127,14 @@ def test_wavelet_matrix_answers():
     assert [wm.access(k) for k in range(0, 3000, 101)] == ids[::101].tolist()
     with pytest.raises(IndexError):
         wm.access(3000)
+    # planes of several frames, of which a lookup opens few
+    ids = np.random.default_rng(2).integers(0, 40_000, 700_000).astype(np.uint32)
+    raw = wavelet.to_bytes(ids, [1], np.array([len(ids)]))
+    wm = wavelet.from_bytes(raw)[0]
+    assert wm.access(650_000) == ids[650_000] and max(len(p.opened) for p in wm.planes) <= 2 < len(wm.planes[0].frames)
+    assert (wm.ids() == ids).all() and wm.count(7) == int((ids == 7).sum()) and wm.occurrences(7) == np.flatnonzero(ids == 7).tolist()
+    wm = wavelet.from_bytes(wavelet.to_bytes(np.zeros(0, np.uint32), [], np.zeros(0, np.int64)))[0]
+    assert len(wm.ids()) == 0 and wm.count(3) == 0
 
 
 def test_quality_counts(docs, none):

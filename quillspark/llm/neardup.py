@@ -289,6 +289,19 @@ def _tile_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame, tile:
     return rows.mapInArrow(found_by, "u long, v long").where("u != v").distinct()
 
 
+def _joined(comps: DataFrame, links: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """Components (node, component) with more links: only the components that these join are worked on."""
+    if links.isEmpty():
+        return comps
+    label = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+    ends = links.join(label("u"), "u", "left").join(label("v"), "v", "left")
+    between = ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    merged = components(between, space, name).withColumnsRenamed({"node": "component", "component": "root"})
+    # a component's least node, and a node without links before, has no row of its own in comps
+    moved = comps.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return space.save(moved.unionByName(merged.select(F.col("component").alias("node"), F.col("root").alias("component"))), f"{name}-comps")
+
+
 def groups(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, floor: float = SKETCH_FLOOR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
@@ -329,8 +342,12 @@ def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Work
     sketched = space.save(texts.select("doc_id", "text_key", "text").mapInArrow(_sketched, SKETCHED), "sketched")
     whole = ["n_shingles", "set1", "set2"]
     sets_known = sketched.where("n_shingles > 0 and doc_id is not null")
-    # a set is a node; its key is made of the set alone, as a doc_id may stand for several texts
-    nodes = space.save(sets_known.groupBy(*whole).agg(F.min(F.struct("doc_id", "text_key")).alias("least")).withColumn("doc", F.xxhash64(*whole)), "nodes")
+    # a set is a node of its own, as a doc_id may stand for several texts
+    nodes = sets_known.groupBy(*whole).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    # the least id names a node, as small numbers shrink well; where several sets have the same, their hashes do
+    shared = nodes.groupBy(F.col("least.doc_id").alias("id")).agg(F.count("*").alias("sets")).where("sets > 1")
+    nodes = nodes.join(shared, F.col("least.doc_id") == F.col("id"), "left")
+    nodes = space.save(nodes.select(*whole, "least", F.when(F.col("id").isNull(), F.col("least.doc_id")).otherwise(F.xxhash64(*whole)).alias("doc")), "nodes")
     own = sets_known.join(nodes.select(*whole, "doc", "least.doc_id", "least.text_key"), [*whole, "doc_id", "text_key"])
     own = space.save(own.dropDuplicates([*whole, "doc_id", "text_key"]).select("doc", "doc_id", "text_key", "sketch", "bands"), "own")
     banded = own.select("doc", F.explode("bands").alias("bucket"))
@@ -355,7 +372,7 @@ def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Work
     ):
         pairs = space.save(_tile_pairs(buckets_of, comps, own_sketches, tile, found_by, space, f"{step}-open", chosen if step == "rest" else None), f"{step}-pairs")
         more = space.save(_confirm(pairs, sets, percent), f"{step}-links")
-        comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), space, step)
+        comps = _joined(comps, more, space, step)
         space.drop(f"{step}-open", f"{step}-open-split", f"{step}-pairs")
     # a component's least node has no row of its own among them
     of_all = comps.select(F.col("node").alias("doc"), "component").unionByName(comps.select(F.col("component").alias("doc"), "component").distinct())

@@ -296,7 +296,7 @@ def _joined(comps: DataFrame, links: DataFrame, space: Workspace, name: str) ->
     label = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
     ends = links.join(label("u"), "u", "left").join(label("v"), "v", "left")
     between = ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
-    merged = components(between, space, name).withColumnsRenamed({"node": "component", "component": "root"})
+    merged = components(between, space, name).select(F.col("node").alias("component"), F.col("component").alias("root"))
     # a component's least node, and a node without links before, has no row of its own in comps
     moved = comps.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     return space.save(moved.unionByName(merged.select(F.col("component").alias("node"), F.col("root").alias("component"))), f"{name}-comps")

@@ -377,6 +377,18 @@ def test_components_with_hot_nodes(spark, tmp_path, monkeypatch, hot_rows):
     assert {r.node: r.component for r in found if r.node != r.component} == {x: find(x) for x in nodes if find(x) != x}
 
 
+def test_more_links_join_components(spark):
+    """Links between components, to nodes without one, and within one; none leave all as it is."""
+    from quillspark.llm.shared import Workspace
+
+    comps = spark.createDataFrame([(2, 1), (3, 1), (12, 11), (22, 21)], "node long, component long")
+    links = spark.createDataFrame([(3, 12), (2, 3), (22, 40), (50, 51)], "u long, v long")
+    space = Workspace(spark, "test")
+    found = {r.node: r.component for r in neardup._joined(comps, links, space, "a").collect()}
+    assert {k: v for k, v in found.items() if k != v} == {2: 1, 3: 1, 11: 1, 12: 1, 22: 21, 40: 21, 51: 50}
+    assert sorted(map(tuple, neardup._joined(comps, links.limit(0), space, "b").collect())) == sorted(map(tuple, comps.collect()))
+
+
 def test_recall_of_pairs_near_the_limit(spark):
     """200 pairs of similarity 0.75 to 0.80, each apart from all others: every one is linked."""
     r = random.Random(8)

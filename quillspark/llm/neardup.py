@@ -353,9 +353,10 @@ def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Work
     banded = own.select("doc", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc").alias("order"), "doc")).alias("first")).where("n > 1").select("bucket", F.col("first.doc").alias("pivot"))
     members = space.save(banded.join(buckets, "bucket"), "members")
-    # written, so that the join knows its size: where that is small no text has to move
+    # written, so that joins know their sizes: where few ids are wanted no other text has to move
     wanted = space.save(own.select("doc", "doc_id", "text_key").join(members.select("doc").distinct(), "doc", "left_semi"), "wanted")
-    chosen = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc", "text")
+    ids = space.save(wanted.select("doc_id").distinct(), "ids")
+    chosen = texts.join(ids, "doc_id", "left_semi").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc", "text")
     sets = space.save(chosen.mapInArrow(_sets, "doc long, shingles binary, fine array<long>"), "sets")
     sketches = own.select("doc", "sketch")
 
@@ -380,7 +381,7 @@ def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Work
     roots = space.save(linked.groupBy("component").agg(F.min("least").alias("root")), "roots")
     named = linked.join(roots, "component").select(*whole, "root")
     named = space.save(nodes.select(*whole, "least").join(named, whole, "left").select(*whole, F.coalesce("root", "least").alias("root")), "named")
-    space.drop("members", "wanted", "sets", "own", "nodes", "roots")
+    space.drop("members", "wanted", "ids", "sets", "own", "nodes", "roots")
     found = sketched.select("doc_id", "text_key", *whole).join(named, whole, "left")
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root.doc_id", "doc_id")))
     first = F.coalesce((F.col("doc_id") == F.col("root.doc_id")) & (F.col("text_key") == F.col("root.text_key")), F.lit(True))

@@ -51,6 +51,8 @@ TILE = 512
 FINE_BANDS = FINE_SAMPLES // 8
 #: A bucket of which each document would be copied into more tiles is split by those bands.
 MOST_COPIES = FINE_BANDS
+#: Bits for each row in the map of rows that may go, and the most bits of such a map (8 MB).
+MAP_BITS, MOST_BITS = 16, 1 << 26
 _ODD, _MIX = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SKETCHED = "doc_id long, text_key long, n_shingles long, set1 long, set2 long, sketch array<long>, bands array<long>"
 
@@ -330,12 +332,35 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = found.groupBy(*key).agg(F.count("*").alias("n"), F.bool_and("first").alias("first")).where("n > 1 or not first")
     marks = space.save(marks.select(F.col("doc_id").alias("_marked"), F.col("text_key").alias("_key"), "first"), "marks")
     here = (F.col("doc_id").cast("long") == F.col("_marked")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
-    single = docs.join(marks, here, "left_anti")
-    again = docs.join(marks.where("first"), here, "left_semi")
+    apart, near = _told_apart(docs, marks, space, "marks")
+    single = apart.unionByName(near.join(marks, here, "left_anti"))
+    repeated = space.save(marks.where("first"), "repeated")
+    if repeated.isEmpty():
+        return single
+    again = _told_apart(docs, repeated, space, "repeated")[1].join(repeated, here, "left_semi")
     again = again.groupBy(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return single.unionByName(again.select("_row.*"))
 
 
+def _told_apart(docs: DataFrame, marks: DataFrame, space: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that are surely not marked (_marked, _key), and those that may be: all marked ones and few others.
+
+    A broadcast map of the marks' hashes tells them apart where they are, so that
+    only the texts of the latter move in a join with the marks. The map has a bound;
+    with more marks than it has room for, more of the others move.
+    """
+    size = min(max(MAP_BITS * marks.count(), 1), MOST_BITS)
+    place = lambda doc_id, key: F.pmod(F.xxhash64(doc_id, key), F.lit(size)) + 1
+    of_mark, of_row = place("_marked", "_key"), place(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    parts = marks.groupBy(F.bitmap_bucket_number(of_mark).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of_mark)).alias("_bits"))
+    parts = F.broadcast(space.save(parts, f"{name}-map"))
+    at = F.bitmap_bit_position(of_row)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    mapped = docs.join(parts, F.bitmap_bucket_number(of_row) == F.col("_part"), "left")
+    return mapped.where(~hit).drop("_part", "_bits"), mapped.where(hit).drop("_part", "_bits")
+
+
 def _grouped(docs: DataFrame, percent: int, tile: int, floor: float, space: Workspace) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, and first: whether a row is its component's first (each without a set is)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))

@@ -153,6 +153,40 @@ def test_one_of_each_group_stays(spark):
     assert neardup.keep_one(docs.limit(0)).count() == 0
 
 
+def written_to_shuffles(spark, run) -> int:
+    """Bytes that the jobs of a call write to shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup("measured", "measured")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("measured") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_texts_that_stay_do_not_move(spark, monkeypatch):
+    """300 texts of random words of which 20 have a near copy: no join may move them all, however many go."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(48):x}" for _ in range(200)) for _ in range(300)]
+    rows = [*enumerate(texts), *((1000 + k, f"{texts[k]} more") for k in range(20)), (2000, None), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(docs)
+        assert written_to_shuffles(spark, lambda: kept.write.format("noop").mode("overwrite").save()) < 0.3 * sum(map(len, texts))
+        expected = sorted([*enumerate(texts), (2000, None), (None, texts[0])], key=str)
+        assert sorted(map(tuple, kept.collect()), key=str) == expected
+        for most in (1, 64):  # a map that is too small, where most rows may be marked
+            monkeypatch.setattr(neardup, "MOST_BITS", most)
+            twice = docs.unionByName(docs.where("doc_id in (0, 5, 1005)"))
+            assert sorted(map(tuple, neardup.keep_one(twice).collect()), key=str) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_pipeline_on_edge_tables(spark, tmp_path):
     """Nulls, repeated rows, a very long text, columns with the stages' own names; and no rows at all."""
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark import settings
 from quillspark.functions import images, urls
@@ -67,30 +68,118 @@ def nearest_known_hash(new: DataFrame, assets: DataFrame, now, days: int = setti
     return nearest_hash(new.where(F.col("kind").isin(kinds)), originals, threshold)
 
 
-def sign_bits(n: int) -> int:
-    """Signs in a piece: as many as give a piece about as many values as there are vectors."""
-    return max(8, min(24, n.bit_length()))
+def piece_bits(n: int) -> int:
+    """Bits in a piece of a vector: so many that about 64 vectors share one, and 14 at least."""
+    return max(14, min(24, n.bit_length() - 6))
 
 
-def sign_bands(bits: int, threshold: float, recall: float = 0.999) -> int:
-    """Pieces with which a pair at the threshold shares one with that probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits))
+def cells(bits: int) -> list[int]:
+    """Projections in each hash of a piece. A hash names the strongest of its projections and its sign: of 64, seven bits."""
+    return [64] * (bits // 7) + ([1 << (bits % 7 - 1)] if bits % 7 else [])
 
 
-def _sign_bands(bits: int, bands: int, size: int):
-    """Signs of random projections, in pieces; vectors at a small angle share a piece with high probability."""
+@functools.cache
+def meeting(projections: int, threshold: float, draws: int = 40000) -> float:
+    """The probability that two vectors at the threshold have one hash, from draws; three standard errors less, so that it holds."""
+    r = np.random.default_rng(92)
+    a = r.standard_normal((draws, projections))
+    b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * r.standard_normal((draws, projections))
+    p = float((_strongest(a) == _strongest(b)).mean())
+    return p - 3 * math.sqrt(p * (1 - p) / draws)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def pieces(vectors: pd.Series) -> pd.Series:
-        planes = np.random.default_rng(92).standard_normal((size, bands * bits))
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        out = []
-        for at in range(0, len(vectors), 1024):
-            signs = (np.stack(vectors.iloc[at : at + 1024].to_numpy()).astype(float) @ planes > 0).reshape(-1, bands, bits)
-            out += list(signs @ weight * bands + np.arange(bands))
-        return pd.Series(out)
 
-    return pieces
+def piece_count(bits: int, threshold: float, recall: float = 0.999) -> int:
+    """Pieces with which a pair at the threshold shares one with that probability."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-min(math.prod(meeting(c, threshold) for c in cells(bits)), 1 - 1e-9)))
+
+
+def _strongest(projected: np.ndarray) -> np.ndarray:
+    at = np.abs(projected).argmax(axis=1)
+    return at * 2 + (projected[np.arange(len(at)), at] > 0)
+
+
+def _pieces(bits: int, count: int, size: int):
+    """(id, key, vector) -> (piece, id, key, vector): a row for each piece."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.random.default_rng(92)
+        planes = [[r.standard_normal((size, c)) for c in cells(bits)] for _ in range(count)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = part.column(2).flatten().to_numpy().reshape(-1, size)
+                for k, hashes in enumerate(planes):
+                    value = np.zeros(len(x), np.int64)
+                    for plane in hashes:
+                        value = value * 2 * plane.shape[1] + _strongest(x @ plane)
+                    yield pa.RecordBatch.from_arrays([pa.array(value * count + k), *part.columns], ["piece", *part.schema.names])
+
+    return rows
+
+
+def _nearest_of_piece(x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, cosine) of the two most similar others of each row, the first of equals, where similar enough."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    unit = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+    for at in range(0, len(x), 512):
+        near = unit[at : at + 512] @ unit.T
+        own = np.arange(len(near))
+        near[own, own + at] = np.nan
+        hit = near >= threshold - 1e-6
+        rows = own[hit.any(axis=1)]
+        if len(rows):
+            found = np.where(hit[rows], np.round(near[rows], 6), -2.0)
+            for _ in range(2):
+                best = found.argmax(axis=1)
+                good = found[np.arange(len(rows)), best] > -2
+                a, b = x[rows[good] + at], x[best[good]]
+                # sums in the vectors' order, as SQL has them
+                dot, aa, bb = (np.cumsum(p * q, axis=1)[:, -1] for p, q in ((a, b), (a, a), (b, b)))
+                yield rows[good] + at, best[good], dot / (np.sqrt(aa) * np.sqrt(bb))
+                found[np.arange(len(rows)), best] = -2.0
+
+
+def _nearest_in_pieces(size: int, threshold: float):
+    """Rows of ``_pieces`` in the order of piece and id -> (key, other, similarity); a piece is held at a time."""
+
+    def matched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        piece, keys = rows.column(0).to_numpy(), rows.column(2).combine_chunks()
+        x = rows.column(3).combine_chunks().flatten().to_numpy().reshape(-1, size)
+        starts = np.flatnonzero(np.diff(piece, prepend=piece[0] - 1))
+        ends = np.append(starts[1:], len(piece))
+        several = ends - starts > 1
+        for start, end in zip(starts[several], ends[several], strict=True):
+            for mine, other, similarity in _nearest_of_piece(x[start:end], threshold):
+                if len(mine):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(mine + start)), keys.take(pa.array(other + start)), pa.array(similarity)], ["key", "other", "similarity"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.RecordBatch] = []
+        for batch in batches:
+            found.append(batch)
+            if sum(b.num_rows for b in found) >= 10000:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+                found = []
+        if found:
+            yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(piece, piece[-1]))
+            if held and (cut or held[-1].column(0)[-1].as_py() != piece[-1]):
+                yield from matched(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from matched(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from matched(pa.Table.from_batches(held))
+
+    return lambda batches: together(whole(batches))
 
 
 def cosine(a, b):
@@ -101,27 +190,27 @@ def cosine(a, b):
 def nearest_vector(vectors: DataFrame, threshold: float = settings.EMBEDDING_THRESHOLD) -> DataFrame:
     """For each vector (id, vector) the most similar other one (of equals the least id), where it is similar enough.
 
-    Candidates share a piece of signs of projections. A piece has about as many
-    values as there are vectors, and there are as many pieces as find a pair at the
-    threshold with probability 0.999, so that candidates grow with the vectors and
-    not with their pairs. Equal vectors are one, with the two least ids that have
-    it. Vectors that are null, empty, hold a null or have another length than most
-    are left out, as are null ids.
+    Candidates share a piece, which has about a 64th as many values as there are
+    vectors, and there are as many pieces as find a pair at the threshold with
+    probability 0.999. Vectors go to their pieces, and of each piece only the two
+    nearest others of a vector come back: what moves grows with the vectors and not
+    with their pairs, however many are similar. Equal vectors are one, with the two
+    least ids that have it. Vectors that are null, empty, hold a null or have
+    another length than most are left out, as are null ids.
     """
     known = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("id is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x))")
     n, size = known.agg(F.count("*"), F.mode(F.size("vector"), True)).first()
     if not n:
         return known.select("id", F.col("id").alias("match_id"), F.lit(0.0).alias("similarity"))
-    fit = known.where(F.size("vector") == size).withColumn("key", F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256))
+    text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
+    fit = known.where(F.size("vector") == size).withColumn("key", F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
     two = top_k(fit.select("key", "id").distinct(), ["key"], [F.col("id")], 2).groupBy("key").agg(F.collect_list("id").alias("ids"))
-    one = fit.groupBy("key").agg(F.min_by("vector", "id").alias("vector")).join(two, "key")
-    bits = sign_bits(n)
-    banded = one.select("key", F.explode(_sign_bands(bits, sign_bands(bits, threshold), size)("vector")).alias("piece"))
-    pairs = banded.join(banded.withColumnRenamed("key", "other"), "piece").where("key < other").select("key", "other").distinct()
-    plain = one.select("key", "vector")
-    pairs = pairs.join(plain, "key").join(plain.select(F.col("key").alias("other"), F.col("vector").alias("other_vector")), "other")
-    pairs = pairs.select("key", "other", F.explode(F.array(F.round(cosine(F.col("vector"), F.col("other_vector")), 6))).alias("similarity")).where(F.col("similarity") >= threshold)
-    both = pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "similarity"))
+    one = fit.groupBy("key").agg(F.min("id").alias("id"), F.min_by("vector", "id").alias("vector")).select("id", "key", "vector")
+    bits = piece_bits(n)
+    kind = one.schema["id"].dataType.simpleString()
+    pieces = one.mapInArrow(_pieces(bits, piece_count(bits, threshold), size), f"piece long, id {kind}, key binary, vector array<double>")
+    met = pieces.repartition("piece").sortWithinPartitions("piece", "id").mapInArrow(_nearest_in_pieces(size, threshold), "key binary, other binary, similarity double")
+    both = met.groupBy("key", "other").agg(F.round(F.max("similarity"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     # the two least of the most similar others, and its own other id where a vector is repeated
     near = both.join(two.withColumnRenamed("key", "other"), "other").select("key", F.explode("ids").alias("match_id"), "similarity")
     near = near.unionByName(two.select("key", F.explode("ids").alias("match_id"), F.lit(1.0).alias("similarity")))

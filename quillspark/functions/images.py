@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark import settings
-from quillspark.functions import urls
+from quillspark.functions import texts, urls
 
 
 def _half(hash64: Column, k: int) -> Column:
@@ -102,23 +102,30 @@ def _holds(text: Column, markers: list[str]) -> Column:
 
 
 def role(url: Column, alt: Column, width: Column, height: Column) -> Column:
-    """pixel, avatar, promo, chrome or content; the first that fits."""
+    """pixel, avatar, promo, chrome or content; the first that fits.
+
+    A URL's parts are bound once, so that they aren't read again for each marker.
+    """
     edge = lambda c: F.coalesce((c > 0) & (c <= settings.PIXEL_MAX_EDGE), F.lit(False))
     path = F.lower(F.concat(F.coalesce(urls.part(url, "PATH"), url), F.lit("?"), F.coalesce(urls.part(url, "QUERY"), F.lit(""))))
     site, caption = F.coalesce(urls.host(url), F.lit("")), F.lower(F.trim(F.coalesce(alt, F.lit(""))))
     known = F.coalesce((width > 0) & (height > 0), F.lit(False))
     in_name = name_dimensions(url)
-    w = F.when(known, width).otherwise(F.coalesce(in_name[0], width))
-    h = F.when(known, height).otherwise(F.coalesce(in_name[1], height))
-    square = (w > 0) & (h > 0) & (F.greatest(w, h) <= settings.SQUARE_MAX_EDGE) & (F.abs(w / F.nullif(h, F.lit(0)) - 1) <= settings.SQUARE_TOLERANCE)
-    return (
-        F.when(edge(width) | edge(height), "pixel")
-        .when(_holds(site, settings.AVATAR_HOSTS) | _holds(path, settings.AVATAR_URL_MARKERS) | _holds(caption, settings.AVATAR_ALT_MARKERS), "avatar")
-        .when(_holds(path, settings.PROMO_URL_MARKERS), "promo")
-        .when(_holds(path, settings.CHROME_URL_MARKERS) | _holds(caption, settings.CHROME_ALT_MARKERS), "chrome")
-        .when(F.coalesce(square, F.lit(False)), "avatar")
-        .otherwise("content")
-    )
+    size = F.struct(F.when(known, width).otherwise(F.coalesce(in_name[0], width)).alias("w"), F.when(known, height).otherwise(F.coalesce(in_name[1], height)).alias("h"))
+
+    def square(x: Column) -> Column:
+        w, h = x["w"], x["h"]
+        return F.coalesce((w > 0) & (h > 0) & (F.greatest(w, h) <= settings.SQUARE_MAX_EDGE) & (F.abs(w / F.nullif(h, F.lit(0)) - 1) <= settings.SQUARE_TOLERANCE), F.lit(False))
+
+    def by_text(x: Column) -> Column:
+        return (
+            F.when(_holds(x["site"], settings.AVATAR_HOSTS) | _holds(x["path"], settings.AVATAR_URL_MARKERS) | _holds(x["caption"], settings.AVATAR_ALT_MARKERS), "avatar")
+            .when(_holds(x["path"], settings.PROMO_URL_MARKERS), "promo")
+            .when(_holds(x["path"], settings.CHROME_URL_MARKERS) | _holds(x["caption"], settings.CHROME_ALT_MARKERS), "chrome")
+        )
+
+    parts = F.struct(site.alias("site"), path.alias("path"), caption.alias("caption"))
+    return F.when(edge(width) | edge(height), "pixel").otherwise(F.coalesce(texts.let(parts, by_text), F.when(texts.let(size, square), "avatar").otherwise("content")))
 
 
 def media_type(mime: Column) -> Column:

@@ -1,7 +1,9 @@
 """What queries move, compute and hold grows with their tables and no faster."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from quillspark.functions import images
 from quillspark.operators import dedup
 
 
@@ -51,3 +53,21 @@ def test_recall_of_pieces_at_the_threshold():
         met |= np.all([dedup._strongest(a @ p) == dedup._strongest(b @ p) for p in planes], axis=0)
     assert met.mean() >= 0.9975
     assert dedup.piece_bits(20_000) == dedup.piece_bits(1_000_000) == 14
+
+
+def test_a_role_reads_a_url_once_and_not_for_each_marker(spark):
+    df = spark.createDataFrame([("https://x.com/a-96x96.jpg?w=1", None, None, None)], "u string, a string, w int, h int").select(images.role(F.col("u"), F.col("a"), F.col("w"), F.col("h")).alias("r"))
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    # what stands in a lambda over markers runs for each of them: there, only bound values
+    assert plan.count("contains(") == plan.count("contains(lambda") > 0
+
+
+def test_roles_by_each_sign(spark):
+    rows = {
+        ("https://secure.gravatar.com/x", None, None, None): "avatar", ("https://a.com/p.jpg", " Headshot ", 900, 600): "avatar", ("https://a.com/p.jpg", None, 300, 310): "avatar", ("https://a.com/p-100x100.jpg", None, 0, 5): "avatar",
+        ("https://a.com/p.jpg?x=BANNER", None, 900, 600): "promo", ("https://a.com/p.jpg", "the icon", 900, 600): "chrome", ("https://a.com/p.jpg", None, 900, 2): "pixel",
+        ("https://a.com/p.jpg", None, None, None): "content", (None, None, None, None): "content", ("not a url^ logo", None, None, None): "chrome",
+    }
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, u string, a string, w int, h int")
+    found = df.select("k", images.role(F.col("u"), F.col("a"), F.col("w"), F.col("h")).alias("r")).orderBy("k").collect()
+    assert [r.r for r in found] == list(rows.values())

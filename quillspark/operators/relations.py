@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def partitions_for(df: DataFrame, mb: int = 4) -> int:
+    """Into how many partitions to deal a table so that one gets about so many MB of its files; the session's number at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, size // (mb << 20)) if size < 1 << 50 else least  # above: Spark doesn't know the size
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the order; add a unique column last to settle ties."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

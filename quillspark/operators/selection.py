@@ -53,11 +53,13 @@ def _groups_of(keys_of: list[list[str]]) -> list[int]:
     return numbers
 
 
-def group_renditions(ranked: DataFrame, article: str = "news_id", keys: str = "keys", rank: str = "rank") -> DataFrame:
+def group_renditions(ranked: DataFrame, article: str = "news_id", keys: str = "keys", rank: str = "rank", partitions: int | None = None) -> DataFrame:
     """Adds ``picture`` to an article's ranked assets: the number of the first group that any key matches.
 
     The fold depends on the order and never joins two groups, so the assets of an
     article (a few dozen) are folded together, whole batches of articles at a time.
+    A task sorts its rows twice, with all columns: give those that are needed, and a
+    number of partitions that grows with the table.
     """
     schema = ranked.withColumn("picture", F.lit(0)).schema
     at = [ranked.columns.index(c) for c in (article, keys)]
@@ -84,7 +86,8 @@ def group_renditions(ranked: DataFrame, article: str = "news_id", keys: str = "k
         if held is not None:
             yield from numbered(held)
 
-    return ranked.repartition(article).sortWithinPartitions(article, rank).mapInArrow(fold, schema)
+    dealt = ranked.repartition(partitions, article) if partitions else ranked.repartition(article)
+    return dealt.sortWithinPartitions(article, rank).mapInArrow(fold, schema)
 
 
 def rank_assets(assets: DataFrame, score: str = "score", article: str = "news_id", rank: str = "rank") -> DataFrame:

@@ -413,9 +413,10 @@ def canonical_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as an article's media: the order is the article, the part the asset."""
+    """Line items as an article's media: the order is the article, the part the asset. Dealt by article, in partitions whose size doesn't grow."""
     lines = table(spark, sf_dir, "lineitem")
-    lines = relations.first_by(lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_partkey"], [F.col("l_linenumber"), F.col("l_quantity")])
+    dealt = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity").repartition(relations.partitions_for(lines), "l_orderkey")
+    lines = relations.first_by(dealt, ["l_orderkey", "l_partkey"], [F.col("l_linenumber"), F.col("l_quantity")])
     kind = F.when(F.col("l_partkey") % 10 == 0, "video").otherwise("image")
     return lines.select(F.col("l_orderkey").alias("news_id"), F.col("l_partkey").alias("asset_id"), F.col("l_linenumber").alias("position"), F.round(F.col("l_quantity") / 50, 4).alias("score"), kind.alias("type"), (F.col("l_partkey") % 20 == 0).alias("native"), F.concat(F.lit("https://example.com/"), F.col("l_partkey").cast("string")).alias("url"))
 
@@ -443,7 +444,9 @@ def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = selection.rank_assets(_assets(spark, sf_dir))
     key = F.concat(F.lit("url:example.com|picture-of-part-"), (F.col("asset_id") % 4).cast("string"))
-    return selection.group_renditions(ranked.withColumn("keys", F.array(key))).select("news_id", "asset_id", "rank", F.col("picture").cast("int").alias("picture"))
+    needed = ranked.select("news_id", "asset_id", "rank", F.array(key).alias("keys"))
+    grouped = selection.group_renditions(needed, partitions=relations.partitions_for(table(spark, sf_dir, "lineitem")))
+    return grouped.select("news_id", "asset_id", "rank", F.col("picture").cast("int").alias("picture"))
 
 
 @query(

@@ -1,10 +1,14 @@
 """What queries move, compute and hold grows with their tables and no faster."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import images
 from quillspark.operators import dedup
+from quillspark.plans import catalogue
+from test_whole_tables import SF_DIR, assert_equal
 
 
 def rows_moved(spark, df) -> int:
@@ -71,3 +75,20 @@ def test_roles_by_each_sign(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, u string, a string, w int, h int")
     found = df.select("k", images.role(F.col("u"), F.col("a"), F.col("w"), F.col("h")).alias("r")).orderBy("k").collect()
     assert [r.r for r in found] == list(rows.values())
+
+
+def test_articles_are_dealt_once_into_partitions_whose_size_does_not_grow(spark):
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        plan = catalogue.queries()["rendition_groups"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", least)
+    # 10.8 MB of line items, 4 MB a partition
+    assert re.findall(r"Exchange (\w+)\(\w+#\d+L?, (\d+)\)", plan) == [("hashpartitioning", "2")]
+    held = re.search(r"MapInArrow fold\(([^)]*)\)", plan)[1]
+    assert re.findall(r"(\w+)#", held) == ["news_id", "asset_id", "rank", "keys"]
+
+
+def test_rendition_groups_equal_their_sql(spark):
+    assert_equal(catalogue.queries()["rendition_groups"](spark, SF_DIR), catalogue.oracle_sql()["rendition_groups"])
